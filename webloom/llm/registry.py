@@ -2,16 +2,34 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from webloom.llm.id_files import read_ids, write_ids
 from webloom.llm.sharding import shard_rows
-from webloom.session import table
+from webloom.llm.token_counts import count_tokens
+from webloom.session import scratch_path, table
+
+WORD_BPE = "word_bpe_49k.json"
 
 
 def op4_sharding(spark, sf_dir):
     return shard_rows(table(spark, sf_dir, "documents"), 24)
 
 
+def op8_token_counts(spark, sf_dir):
+    counts = count_tokens(table(spark, sf_dir, "documents"), scratch_path(spark, "token_counts"), public_tokenizers.path(WORD_BPE))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+def op9_id_files(spark, sf_dir):
+    path = scratch_path(spark, "ids")
+    write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path(WORD_BPE), end_id=1)
+    return read_ids(spark, path)
+
+
 def queries():
-    return {name: f for name, f in globals().items() if name.startswith("op")}
+    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql():
