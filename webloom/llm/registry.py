@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from webloom.llm.id_files import read_ids, write_ids
+from webloom.llm.packing import pack_documents
 from webloom.llm.sharding import shard_rows
 from webloom.llm.token_counts import count_tokens
 from webloom.session import scratch_path, table
@@ -13,6 +14,10 @@ from webloom.session import scratch_path, table
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op3_packing(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), end_id=1, capacity=4096)
+
+
 def op4_sharding(spark, sf_dir):
     return shard_rows(table(spark, sf_dir, "documents"), 24)
 
