@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from webloom.llm.id_files import read_ids, write_ids
+from webloom.llm import secrets
+from webloom.llm.media import image_features, text_images
 from webloom.llm.packing import pack_documents
 from webloom.llm.sharding import shard_rows
 from webloom.llm.token_counts import count_tokens
-from webloom.session import scratch_path, table
+from webloom.session import materialise, scratch_path, table
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -22,6 +24,11 @@ def op4_sharding(spark, sf_dir):
     return shard_rows(table(spark, sf_dir, "documents"), 24)
 
 
+def op5_media_columns(spark, sf_dir):
+    stored = materialise(text_images(table(spark, sf_dir, "documents")), "images")
+    return image_features(stored).drop("error")
+
+
 def op8_token_counts(spark, sf_dir):
     counts = count_tokens(table(spark, sf_dir, "documents"), scratch_path(spark, "token_counts"), public_tokenizers.path(WORD_BPE))
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
@@ -33,6 +40,13 @@ def op9_id_files(spark, sf_dir):
     return read_ids(spark, path)
 
 
+def op10_secret_scans(spark, sf_dir):
+    weights = secrets.train(secrets.default_samples(spark))
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"), weights)
+    counts = [secrets.count_kind(F.col("base"), kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(secrets.span_list(F.col("base")), 256).alias("base_sha256"), secrets.span_list(F.col("spans")).alias("spans"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
