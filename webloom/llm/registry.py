@@ -9,6 +9,7 @@ from webloom.llm.id_files import read_ids, write_ids
 from webloom.llm import secrets
 from webloom.llm.media import image_features, text_images
 from webloom.llm.packing import pack_documents
+from webloom.llm.quality import fit_quality, in_learning_part, score_quality
 from webloom.llm.sharding import shard_rows
 from webloom.llm.token_counts import count_tokens
 from webloom.session import materialise, scratch_path, table
@@ -16,6 +17,13 @@ from webloom.session import materialise, scratch_path, table
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op1_quality_classifier(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    learn = in_learning_part(F.col("doc_id"))
+    scored = score_quality(docs, fit_quality(docs, labels, learn=learn))
+    return scored.select("doc_id", F.coalesce(~learn, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), end_id=1, capacity=4096)
 
