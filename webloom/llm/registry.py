@@ -11,6 +11,7 @@ from webloom.llm.media import image_features, text_images
 from webloom.llm.packing import pack_documents
 from webloom.llm.quality import fit_quality, in_learning_part, score_quality
 from webloom.llm.sharding import shard_rows
+from webloom.llm.simhash import near_duplicates
 from webloom.llm.token_counts import count_tokens
 from webloom.session import materialise, scratch_path, table
 
@@ -37,6 +38,10 @@ def op5_media_columns(spark, sf_dir):
     return image_features(stored).drop("error")
 
 
+def op7_simhash_dedup(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=2)
+
+
 def op8_token_counts(spark, sf_dir):
     counts = count_tokens(table(spark, sf_dir, "documents"), scratch_path(spark, "token_counts"), public_tokenizers.path(WORD_BPE))
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
