@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from webloom.llm.id_files import read_ids, write_ids
 from webloom.llm import secrets
 from webloom.llm.media import image_features, text_images
+from webloom.llm.neighbours import search_nearest
 from webloom.llm.packing import pack_documents
 from webloom.llm.quality import fit_quality, in_learning_part, score_quality
 from webloom.llm.sharding import shard_rows
@@ -38,6 +39,10 @@ def op5_media_columns(spark, sf_dir):
     return image_features(stored).drop("error")
 
 
+def op6_permutation_index(spark, sf_dir):
+    return search_nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op7_simhash_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=2)
 
