@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from webloom.llm.byte_bpe import decode_ids, encode_texts
 from webloom.llm.id_files import read_ids, write_ids
 from webloom.llm import secrets
 from webloom.llm.media import image_features, text_images
@@ -16,6 +17,7 @@ from webloom.llm.simhash import near_duplicates
 from webloom.llm.token_counts import count_tokens
 from webloom.session import materialise, scratch_path, table
 
+BYTE_BPE = "byte_bpe_50k.tiktoken"
 WORD_BPE = "word_bpe_49k.json"
 
 
@@ -26,6 +28,14 @@ def op1_quality_classifier(spark, sf_dir):
     return scored.select("doc_id", F.coalesce(~learn, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op2_byte_bpe(spark, sf_dir):
+    ranks = public_tokenizers.path(BYTE_BPE)
+    encoded = encode_texts(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    decoded = decode_ids(encoded, ranks)
+    n_tokens = (F.octet_length("ids") / 4).cast("bigint")
+    return decoded.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op3_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), end_id=1, capacity=4096)
 
