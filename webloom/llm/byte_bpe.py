@@ -36,7 +36,7 @@ from webloom.session import materialise
 BLOCK = 32 << 20
 BUCKET = 200_000
 #: White space as the pattern's own library understands it (Unicode's White_Space).
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = "array<struct<bucket:int,words:binary,lengths:binary,codes:binary>>"
 
 

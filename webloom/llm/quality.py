@@ -138,13 +138,15 @@ def score_quality(docs: DataFrame, model: QualityModel, key: str = "doc_id", tex
     """(key, *carry, score) for every row; name the text in `carry` to keep it."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # two dictionaries of DICTIONARY bytes
-    kept = [F.col(key), *(F.col(c) for c in carry)]
-    rows = docs.select(F.struct(*kept).alias("kept"), F.col(text).alias("text"))
+    names = [key, *(c for c in carry if c != key)]
+    alone = [] if text in names else [F.col(text).alias("text")]
+    rows = docs.select(F.struct(*map(F.col, names)).alias("kept"), *alone)
     schema = f"kept {rows.schema['kept'].dataType.simpleString()}, score DOUBLE"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(shared.value.scores(batch.column("text").to_pylist()))], names=["kept", "score"])
+            texts = batch.column("text") if alone else batch.column("kept").field(names.index(text))
+            yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(shared.value.scores(texts.to_pylist()))], names=["kept", "score"])
 
     return rows.mapInArrow(score, schema).select("kept.*", "score")
 

@@ -126,12 +126,21 @@ def random_spans(text: Column, weights: list[float]) -> Column:
     return _spans(text, RUN, 3, wanted)
 
 
+def joined_spans(base: Column, random: Column) -> Column:
+    """All fixed forms, and the random runs that touch none."""
+    apart = F.filter(random, lambda r: ~F.exists(base, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    return F.when(F.size(random) == 0, base).otherwise(F.array_sort(F.concat(base, apart)))
+
+
+def all_spans(text: Column, weights: list[float]) -> Column:
+    return joined_spans(base_spans(text), random_spans(text, weights))
+
+
 def find_secrets(docs: DataFrame, weights: list[float], key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, text, base, spans): arrays of structs start, kind_no (into KINDS), end; code points, end exclusive. One pass over the rows, no shuffle."""
     whole = docs.select(F.col(key).alias(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
     base = whole.withColumn("base", base_spans(F.col("text"))).withColumn("random", random_spans(F.col("text"), weights))
-    apart = F.filter("random", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    return base.select(key, "text", "base", F.when(F.size("random") == 0, F.col("base")).otherwise(F.array_sort(F.concat("base", apart))).alias("spans"))
+    return base.select(key, "text", "base", joined_spans(F.col("base"), F.col("random")).alias("spans"))
 
 
 def span_list(spans: Column) -> Column:

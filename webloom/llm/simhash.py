@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from webloom.session import materialise
@@ -73,19 +74,34 @@ def masks(radius: int, bits: int = BITS) -> list[int]:
     return [m - (1 << 64) if m >= 1 << 63 else m for m in found]
 
 
-def ball_links(prints: DataFrame, radius: int, fp: str = "fp", band: str | None = None, bits: int = BITS) -> DataFrame:
-    """(a, b, distance), a < b: verified links between distinct fingerprints within `radius` bits, each to its buckets' smallest.
-
-    Every two fingerprints within the radius are in one component of these links. `band` names a column of which linked
-    fingerprints must share the value; it is then returned too.
-    """
-    keys = [band] if band else []
-    distinct = prints.select(*keys, F.col(fp).alias("fp")).distinct()
+def _buckets(prints: DataFrame, radius: int, keys: list[str], bits: int) -> DataFrame:
+    """(keys, fps): the distinct fingerprints that share a variant, two or more, in order."""
+    distinct = prints.select(*keys, "fp").distinct()
     near = F.array(*[F.lit(m).cast("bigint") for m in masks(radius // 2, bits)])
     spread = distinct.select(*keys, "fp", F.explode(F.transform(near, lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
-    met = spread.groupBy(*keys, "variant").agg(F.array_sort(F.collect_list("fp")).alias("fps")).where(F.size("fps") > 1)
-    pairs = met.select(*keys, F.get("fps", F.lit(0)).alias("a"), F.explode(F.slice("fps", 2, len(masks(radius // 2, bits)))).alias("b")).distinct()
-    return pairs.withColumn("distance", F.bit_count(F.col("a").bitwiseXOR(F.col("b")))).where(F.col("distance") <= radius)
+    # The fingerprints of a bucket lie within half the radius of its variant: as many as there are masks at most.
+    met = spread.groupBy(*keys, "variant").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
+    return met.where(F.size("fps") > 1).select(*keys, "fps")
+
+
+def _verified(pairs: DataFrame, radius: int) -> DataFrame:
+    return pairs.distinct().withColumn("distance", F.bit_count(F.col("a").bitwiseXOR(F.col("b")))).where(F.col("distance") <= radius)
+
+
+def ball_links(prints: DataFrame, radius: int, bits: int = BITS) -> DataFrame:
+    """(a, b, distance), a < b: links between distinct fingerprints within `radius` bits, each to its buckets' smallest.
+
+    Every two fingerprints within the radius are in one component of these links.
+    """
+    met = _buckets(prints, radius, [], bits)
+    return _verified(met.select(F.get("fps", F.lit(0)).alias("a"), F.explode(F.slice("fps", 2, len(masks(radius // 2, bits)))).alias("b")), radius)
+
+
+def ball_pairs(prints: DataFrame, radius: int, band: str, bits: int) -> DataFrame:
+    """(band, a, b, distance), a < b: all pairs of distinct fingerprints of a band within `radius` bits."""
+    met = _buckets(prints, radius, [band], bits)
+    each = met.select(band, "fps", F.posexplode("fps").alias("at", "a"))
+    return _verified(each.select(band, "a", F.explode(F.slice("fps", F.col("at") + 2, F.greatest(F.size("fps") - F.col("at") - 1, F.lit(0)))).alias("b")), radius)
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -120,3 +136,73 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, key: str =
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(names, "root").select("fp", "component_id")
     return prints.join(named, "fp").select(F.col("doc_id").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Fingerprints of a text for similarity search, and bits of each.
+BANDS, BAND_BITS = 6, 40
+
+
+def word_set_bands(text: str | None) -> np.ndarray:
+    """BANDS independent SimHash fingerprints of BAND_BITS bits of the text's set of words."""
+    found = set((text or "").encode().lower().split())
+    hashed = xxhash.xxh3_128_digest
+    raw = b"".join([hashed(w, SEED) + hashed(w, SEED + 1) for w in found])
+    ones = np.zeros(256, dtype=np.int64)
+    for at in range(0, len(raw), 32 << 13):
+        ones += np.unpackbits(np.frombuffer(raw[at : at + (32 << 13)], dtype=np.uint8).reshape(-1, 32), axis=1).sum(axis=0, dtype=np.int64)
+    bits = (2 * ones > len(found))[: BANDS * BAND_BITS].reshape(BANDS, BAND_BITS)
+    return bits @ (1 << np.arange(BAND_BITS, dtype=np.int64))
+
+
+def jaccard(a: str | None, b: str | None, words: int) -> float:
+    """Of the sets of word shingles; 1 for two texts without words."""
+    one, two = set(shingle_hashes(a, words).tolist()), set(shingle_hashes(b, words).tolist())
+    return len(one & two) / len(one | two) if one or two else 1.0
+
+
+def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
+    """(a, b, similarity) between digests of different texts whose `words`-word shingle sets have that Jaccard similarity or more.
+
+    A changed word changes `words` shingles but one word, so candidates come from fingerprints of word sets, where such
+    texts differ in few bits: BANDS short fingerprints each, linked within 2 bits by ball hashing. Texts with one
+    fingerprint are compared with the first of them, and the first ones of linked fingerprints with each other, so a
+    group of copies costs as many comparisons as it has texts. Every candidate is verified on whole texts.
+    """
+    bare = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).select(F.unhex(F.sha2("text", 256)).alias("digest"), "text")
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bands = [word_set_bands(t.as_py()).tolist() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(bands, pa.list_(pa.int64()))], names=["digest", "bands"])
+
+    printed = materialise(bare.mapInArrow(make, "digest BINARY, bands ARRAY<BIGINT>").distinct(), "bands")
+    prints = printed.select("digest", F.posexplode("bands").alias("band", "fp"))
+    first = materialise(prints.groupBy("band", "fp").agg(F.min("digest").alias("first")), "first")
+    inside = prints.join(first, ["band", "fp"]).where("digest <> first").select(F.col("first").alias("a"), F.col("digest").alias("b"))
+    met = ball_pairs(first, 2, "band", BAND_BITS)
+    one, two = (first.select("band", F.col("fp").alias(x), F.col("first").alias(f"first_{x}")) for x in "ab")
+    across = met.join(one, ["band", "a"]).join(two, ["band", "b"]).where("first_a <> first_b")
+    across = across.select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"))
+    pairs = materialise(inside.unionByName(across).distinct(), "pairs")
+
+    asked = pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct()
+    texts = materialise(bare.join(asked, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text")), "texts")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [jaccard(x.as_py(), y.as_py(), words) for x, y in zip(batch.column("text_a"), batch.column("text_b"))]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], names=["a", "b", "similarity"])
+
+    left = pairs.join(texts.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a")
+    both = left.join(texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a BINARY, b BINARY, similarity DOUBLE").where(F.col("similarity") >= similarity)
+
+
+def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs` without near-duplicates: of each group of linked texts the row with the smallest key stays (nulls last)."""
+    roots = components(similar_links(docs, words, similarity, text))
+    digest, root, nth = "__digest", "__root", "__nth"
+    keyed = docs.withColumn(digest, F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
+    rooted = keyed.join(roots.select(F.col("node").alias(digest), F.col("root").alias(root)), digest, "left")
+    of = W.partitionBy(F.coalesce(root, digest)).orderBy(F.asc_nulls_last(key), digest)
+    return rooted.withColumn(nth, F.row_number().over(of)).where(F.col(nth) == 1).select(*docs.columns)

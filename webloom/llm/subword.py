@@ -35,7 +35,7 @@ WIDE_SPACE_LAST[[*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = True
 WIDE_SPACE_LEAD = np.zeros(256, dtype=bool)
 WIDE_SPACE_LEAD[[0xC2, 0x9A, 0x80, 0x81]] = True
 #: Chunks whose normal form is known: NFC leaves these characters alone and each lower-cases to one of them.
-PLAIN = "^[!-~¡-įı-ňŊ-ž]*$"
+PLAIN = "^[!-~\u00a1-\u012f\u0131-\u0148\u014a-\u017e]*$"
 
 
 class Ragged:
