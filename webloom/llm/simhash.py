@@ -139,7 +139,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, key: str =
 
 
 #: Fingerprints of a text for similarity search, and bits of each.
-BANDS, BAND_BITS = 6, 40
+BANDS, BAND_BITS = 7, 36
 
 
 def word_set_bands(text: str | None) -> np.ndarray:
