@@ -139,17 +139,17 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, key: str =
 
 
 #: Fingerprints of a text for similarity search, and bits of each.
-BANDS, BAND_BITS = 7, 36
+BANDS, BAND_BITS = 10, 36
 
 
 def word_set_bands(text: str | None) -> np.ndarray:
     """BANDS independent SimHash fingerprints of BAND_BITS bits of the text's set of words."""
     found = set((text or "").encode().lower().split())
     hashed = xxhash.xxh3_128_digest
-    raw = b"".join([hashed(w, SEED) + hashed(w, SEED + 1) for w in found])
-    ones = np.zeros(256, dtype=np.int64)
-    for at in range(0, len(raw), 32 << 13):
-        ones += np.unpackbits(np.frombuffer(raw[at : at + (32 << 13)], dtype=np.uint8).reshape(-1, 32), axis=1).sum(axis=0, dtype=np.int64)
+    raw = b"".join([hashed(w, SEED) + hashed(w, SEED + 1) + hashed(w, SEED + 2) for w in found])
+    ones = np.zeros(384, dtype=np.int64)
+    for at in range(0, len(raw), 48 << 13):
+        ones += np.unpackbits(np.frombuffer(raw[at : at + (48 << 13)], dtype=np.uint8).reshape(-1, 48), axis=1).sum(axis=0, dtype=np.int64)
     bits = (2 * ones > len(found))[: BANDS * BAND_BITS].reshape(BANDS, BAND_BITS)
     return bits @ (1 << np.arange(BAND_BITS, dtype=np.int64))
 
