@@ -1 +1 @@
-
+"""Column functions: text, language, addresses, codecs, HTML."""

@@ -65,6 +65,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialise_buckets(df: DataFrame, name: str, key: str) -> DataFrame:
+    """materialise, as a table bucketed by `key` into as many buckets as a shuffle has partitions, so a join on it moves only the other side."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table_name = f"webloom_{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).option("path", path).saveAsTable(table_name)
+    return spark.table(table_name)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver found it."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
