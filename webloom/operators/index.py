@@ -44,32 +44,24 @@ def text_pages(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", url.alias("url"), page_title(F.col("text")).alias("title"), F.lit("").alias("description"), page_text(F.col("text")).alias("text"))
 
 
-def weighed(pages: DataFrame) -> DataFrame:
-    """docs with `words`: each page's weighed words, counted in the row - a page has few, so no shuffle is needed for them."""
-    fields = (("title", TITLE_WEIGHT, None), ("description", DESCRIPTION_WEIGHT, None), ("text", TEXT_WEIGHT, TEXT_WORDS))
-
-    def words(name: str, weight: int, most: int | None):
-        kept = kept_tokens(F.coalesce(name, F.lit("")))
-        kept = F.slice(kept, 1, most) if most else kept
-        return F.transform(kept, lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
-
-    found = pages.withColumn("host", host_port(F.col("url"))).where("coalesce(host, '') <> ''")
-    found = found.withColumn("all", F.concat(*(words(*f) for f in fields)))
-    total = F.aggregate("all", F.lit(0), lambda acc, x: acc + x["w"])
-
-    def weight(term):
-        return F.least(F.aggregate(F.filter("all", lambda x: x["term"] == term), F.lit(0), lambda acc, x: acc + x["w"]), F.lit(MOST))
-
-    distinct = F.array_distinct(F.transform("all", lambda x: x["term"]))
-    return found.withColumn("words", F.transform(distinct, lambda t: F.struct(t.alias("term"), weight(t).alias("tf")))).withColumn("dl", F.least(total, F.lit(MOST))).drop("all")
+def _kept(name: str):
+    return kept_tokens(F.coalesce(name, F.lit("")))
 
 
 def build_index(pages: DataFrame) -> Index:
-    """From (doc_id, url, title, description, text). Pages without a host are left out; pages without words count as documents."""
-    rows = weighed(pages)
-    postings = rows.select(F.explode("words").alias("w"), "doc_id").select("w.term", "doc_id", "w.tf")
+    """From (doc_id, url, title, description, text). Pages without a host are left out; pages without words count as documents.
+
+    Lengths are counted in the row; postings are one aggregation whose partial sums are taken where the pages are read.
+    """
+    rows = pages.withColumn("host", host_port(F.col("url"))).where("coalesce(host, '') <> ''")
+    length = TITLE_WEIGHT * F.size(_kept("title")) + DESCRIPTION_WEIGHT * F.size(_kept("description")) + TEXT_WEIGHT * F.least(F.size(_kept("text")), F.lit(TEXT_WORDS))
+    docs = rows.select("doc_id", "url", "host", "title", F.least(length, F.lit(MOST)).alias("dl"))
+    fields = ((_kept("title"), TITLE_WEIGHT), (_kept("description"), DESCRIPTION_WEIGHT), (F.slice(_kept("text"), 1, TEXT_WORDS), TEXT_WEIGHT))
+    words = F.concat(*(F.transform(kept, lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w"))) for kept, weight in fields))
+    each = rows.select("doc_id", F.explode(words).alias("word")).select("doc_id", "word.term", "word.w")
+    postings = each.groupBy("term", "doc_id").agg(F.least(F.sum("w"), F.lit(MOST)).cast("int").alias("tf"))
     terms = postings.groupBy("term").agg(F.count("*").alias("df"))
-    return Index(rows.select("doc_id", "url", "host", "title", "dl"), postings, terms)
+    return Index(docs, postings, terms)
 
 
 def corpus_stats(index: Index) -> DataFrame:

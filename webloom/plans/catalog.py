@@ -1,19 +1,356 @@
-"""Named queries of the engine and the SQL they are checked against."""
+"""Named queries of the engine over the driver tables, each beside the SQL it is checked against."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from webloom.functions import codec, html, lang, text, urls
+from webloom.operators import frontier, hosts, index, reports, robots, search
+from webloom.plans import cases, sql
+from webloom.sources import lists
+from webloom.session import scratch_path, table
+from webloom.streaming import ingest
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if oracle:
+            _ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
-from webloom.session import table
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_ORACLES)
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.text_pages(table(spark, sf_dir, "documents"))
+
+
+def _index(spark: SparkSession, sf_dir: str) -> index.Index:
+    return index.build_index(_pages(spark, sf_dir))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("lang").count()
+    return search.search(_index(spark, sf_dir), cases.QUERIES["search_and"])
+
+
+# Text and index tables
+
+
+@query(sql.text_page_fields())
+def text_page_fields(spark, sf_dir):
+    return _pages(spark, sf_dir).select("doc_id", "url", "title", "text")
+
+
+@query(sql.tokens())
+def tokens(spark, sf_dir):
+    found = text.tokens(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(found).alias("n_tokens"), F.array_join(found, " ").alias("tokens"))
+
+
+@query(sql.kept_terms())
+def kept_terms(spark, sf_dir):
+    found = text.kept_tokens(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(found).alias("n_kept"), F.size(F.array_distinct(found)).alias("n_distinct"))
+
+
+@query(sql.postings())
+def postings(spark, sf_dir):
+    return _index(spark, sf_dir).postings
+
+
+@query(sql.doc_lengths())
+def doc_lengths(spark, sf_dir):
+    return _index(spark, sf_dir).docs.select("doc_id", "host", "dl")
+
+
+@query(sql.term_df())
+def term_df(spark, sf_dir):
+    return _index(spark, sf_dir).terms
+
+
+@query(sql.corpus_stats())
+def corpus_stats(spark, sf_dir):
+    return index.corpus_stats(_index(spark, sf_dir)).withColumn("avg_dl", F.round("avg_dl", 6))
+
+
+@query(sql.segment_levels())
+def segment_levels(spark, sf_dir):
+    counts = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg((F.count("*") * 1000).alias("n"))
+    return counts.select("l_suppkey", "n", index.segment_level(F.col("n")).alias("level"))
+
+
+# Search
+
+
+def _search(name: str) -> Query:
+    def run(spark, sf_dir):
+        return search.search(_index(spark, sf_dir), cases.QUERIES[name])
+
+    run.__name__ = name
+    return run
+
+
+for _name, _text in cases.QUERIES.items():
+    query(sql.search(_text))(_search(_name))
+
+
+@query(sql.scan_host(cases.SITE))
+def scan_host(spark, sf_dir):
+    return search.search(_index(spark, sf_dir), f"site:{cases.SITE}")
+
+
+@query(sql.suggest(cases.PREFIX))
+def suggest(spark, sf_dir):
+    return search.suggest(_index(spark, sf_dir), cases.PREFIX)
+
+
+@query(sql.spellfix(cases.MISSPELT))
+def spellfix(spark, sf_dir):
+    words = spark.createDataFrame([(w,) for w in cases.MISSPELT], "word string")
+    return search.spell_fix(_index(spark, sf_dir), words)
+
+
+@query(sql.page_indexed(cases.SITE))
+def page_indexed(spark, sf_dir):
+    """The first page of a site, looked for by its title under another form of its address."""
+    ix = _index(spark, sf_dir)
+    page = ix.docs.where(F.col("host") == cases.SITE).orderBy("doc_id").select("url", "title").first()
+    return search.page_indexed(ix, page["url"].replace("https://", "http://www.") + "/#top", page["title"], cases.SITE, most=300)
+
+
+# Hosts
+
+
+@query(sql.top_hosts(5))
+def top_hosts(spark, sf_dir):
+    return hosts.top_hosts(_index(spark, sf_dir), 5)
+
+
+@query(sql.sites_count())
+def sites_count(spark, sf_dir):
+    return _index(spark, sf_dir).docs.agg(F.count("*").alias("pages"), F.count_distinct("host").alias("sites"))
+
+
+@query(sql.host_pages_any(cases.SITE))
+def host_pages_any(spark, sf_dir):
+    return hosts.pages_of(_index(spark, sf_dir), cases.SITE, any_www=True)
+
+
+@query(sql.hosts_with_suffix("example.org"))
+def hosts_with_suffix(spark, sf_dir):
+    return hosts.hosts_with_suffix(_index(spark, sf_dir), "example.org")
+
+
+@query(sql.hosts_where())
+def hosts_where(spark, sf_dir):
+    return hosts.hosts_where(_index(spark, sf_dir), F.col("host").rlike("^src1"), 3)[1]
+
+
+@query(sql.recent_pages())
+def recent_pages(spark, sf_dir):
+    return hosts.recent_pages(_index(spark, sf_dir))
+
+
+# Addresses and frontier
+
+
+@query(sql.url_parts())
+def url_parts(spark, sf_dir):
+    u = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", urls.host_port(u).alias("host"), urls.host_name(u).alias("host_name"), urls.path(u).alias("path"), urls.request_uri(u).alias("request_uri"), urls.site_of(u).alias("site"))
+
+
+@query(sql.url_norm())
+def url_norm(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.normal_form(F.col("url")).alias("norm"))
+
+
+@query(sql.same_site())
+def same_site(spark, sf_dir):
+    host = urls.host_port(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", urls.same_site(host, urls.without_www(host)).alias("same"), urls.same_site(host, F.lit("example.com")).alias("below"), urls.same_site(host, F.lit("example.net")).alias("other"))
+
+
+@query(sql.query_shapes())
+def query_shape_dedup(spark, sf_dir):
+    marked = frontier.mark_repeated_shapes(cases.shape_pages(spark), "pos")
+    return marked.select("pos", "shape", "repeated")
+
+
+@query(sql.not_sent())
+def not_sent(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    sent = pages.where("page_id % 3 = 0").select("url")
+    return lists.not_in_log(pages.select("url", "page_id"), sent, "url").select("page_id", "url")
+
+
+@query(sql.url_fnv())
+def url_fnv(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", codec.fnv1a(F.col("url")).alias("hash"))
+
+
+@query(sql.not_seen())
+def not_seen(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("url")
+    seen = pages.where("length(url) % 2 = 0").select(codec.fnv1a(F.col("url")).alias("hash"))
+    return frontier.not_seen(pages, seen).select("hash")
+
+
+@query(sql.first_pages())
+def first_pages(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", urls.site_of(F.col("url")).alias("site"))
+    return frontier.first_pages(pages, 2, "page_id")
+
+
+@query(sql.recrawl_due())
+def recrawl_due(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    now = F.lit("2024-01-20 00:00:00").cast("timestamp")
+    return ingest.recrawl_due(events.where("ts < '2024-01-20'"), "user_id", "ts", now, seconds=6 * 3600).select("user_id", F.unix_timestamp("last").alias("last"))
+
+
+@query(sql.seeds_normalised())
+def seeds_normalised(spark, sf_dir):
+    return lists.seeds(lists.list_lines(cases.seed_lines(spark)), F.lit(0)).select("site", "sitemap")
+
+
+@query(sql.last_done())
+def last_done(spark, sf_dir):
+    log = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("line_no"), F.col("o_custkey").alias("site"), F.unix_timestamp("o_orderdate").alias("ts"))
+    return lists.last_done(log)
+
+
+# Language
+
+
+def _lang(spark, sf_dir, test) -> DataFrame:
+    pages = _pages(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    url = F.concat(F.lit("https://"), F.col("lang"), F.lit(".example"), F.when(F.col("doc_id") % 2 == 0, ".org/").otherwise(".de/"))
+    return pages.select("doc_id", test(url, F.col("title"), F.col("description"), F.col("text")).alias("verdict"))
+
+
+@query(sql.lang("english"))
+def lang_english(spark, sf_dir):
+    return _lang(spark, sf_dir, lang.is_english)
+
+
+@query(sql.lang("german"))
+def lang_german(spark, sf_dir):
+    return _lang(spark, sf_dir, lang.is_german)
+
+
+@query(sql.lang("german_text"))
+def lang_german_text(spark, sf_dir):
+    return _lang(spark, sf_dir, lambda u, *fields: lang.is_german_text(*fields))
+
+
+@query(sql.lang_german_url())
+def lang_german_url(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", lang.german_url(F.col("url")).alias("german"))
+
+
+# Robots, sitemaps, HTML
+
+
+@query(sql.robots_rules())
+def robots_rules(spark, sf_dir):
+    return robots.robots_rules(cases.robots_files(spark), cases.AGENT)[0]
+
+
+@query(sql.robots_allowed())
+def robots_allowed(spark, sf_dir):
+    return robots.robots_allowed(cases.robots_paths(spark), *robots.robots_rules(cases.robots_files(spark), cases.AGENT))
+
+
+@query(sql.sitemap_locs())
+def sitemap_locs(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    body = F.concat(F.lit("<urlset><url><loc> "), F.col("url"), F.lit(" </loc></url><url><LOC>x</LOC></url></urlset>"))
+    report = lists.sitemap_report(body)
+    return pages.select("page_id", F.explode(lists.sitemap_locs(body)).alias("loc"), report["total"].alias("total"))
+
+
+@query()
+def html_fields(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", html.html_fields(F.col("html")).alias("f")).select("page_id", "f.title", "f.description", "f.text")
+
+
+@query()
+def html_links(spark, sf_dir):
+    found = table(spark, sf_dir, "pages").select("page_id", "url", html.html_fields(F.col("html"))["links"].alias("links"))
+    return found.select("page_id", F.posexplode(html.resolved_links(F.col("url"), F.col("links"))).alias("pos", "link"))
+
+
+@query(sql.asset_refs())
+def asset_refs_top25(spark, sf_dir):
+    """Links of pages with linked files written around each page's words."""
+    pages = table(spark, sf_dir, "pages")
+    linked = F.concat(F.col("html"), F.regexp_replace("url", "^https?://([^/]+)/.*$", """<img src="/$1.png"><SCRIPT SRC='/b.js?v=1'></SCRIPT><link href="/a.css"><img src="/$1.png">"""))
+    return pages.select("page_id", F.array_join(reports.page_assets(html.asset_links(linked)), "|").alias("assets"))
+
+
+# Reports
+
+
+@query(sql.site_cost())
+def site_cost(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    weights = pages.groupBy(urls.host_port(F.col("url")).alias("host")).agg(F.sum(F.octet_length("html")).alias("bytes_per_visit"))
+    return reports.site_cost(weights, 0.085, 1000)
+
+
+@query(sql.flagged_ratio(0.25))
+def flagged_ratio(spark, sf_dir):
+    return reports.flagged_hosts(table(spark, sf_dir, "events"), "user_id", "event_id", F.col("event_type") == "error", share=0.25)
+
+
+@query(sql.browser_weight())
+def browser_weight(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    sizes = events.select(F.col("user_id").alias("host"), F.col("event_id").alias("request_id"), F.floor("value").alias("bytes"))
+    kinds = events.where("event_id % 2 = 0").select(F.col("user_id").alias("host"), F.col("event_id").alias("request_id"), F.when(F.col("event_type") == "click", "Script").otherwise("Image").alias("kind"))
+    return reports.browser_weight(sizes, kinds)
+
+
+# Codecs and streaming
+
+
+@query()
+def pack_roundtrip(spark, sf_dir):
+    pages = _pages(spark, sf_dir).select("doc_id", "text", codec.packed_text(F.col("text")).alias("packed"))
+    return pages.select("doc_id", F.length("packed").alias("n_packed"), (codec.unpacked_text(F.col("packed")) == F.col("text")).alias("same"))
 
 
-def queries():
-    return {}
+@query()
+def postings_roundtrip(spark, sf_dir):
+    packed = index.packed_lists(_index(spark, sf_dir)).select("term", "df", "pairs", codec.packed_postings(F.col("pairs")).alias("packed"))
+    back = codec.unpacked_postings(F.col("packed"))
+    same = F.to_json(back) == F.to_json(F.transform("pairs", lambda p: F.struct(p["doc_id"].cast("bigint").alias("doc_id"), p["tf"].cast("bigint").alias("tf"))))
+    return packed.select("term", "df", F.length("packed").alias("n_packed"), same.alias("same"))
 
 
-def oracle_sql():
-    return {}
+@query(sql.host_counts())
+def ingest_stream(spark, sf_dir):
+    """Pages read as a stream of files, indexed batch by batch; page counts by host from the committed batches."""
+    base = scratch_path(spark, "ingest")
+    _pages(spark, sf_dir).repartition(3, "doc_id").write.parquet(f"{base}/in")
+    pages = ingest.page_stream(spark, f"{base}/in", spark.read.parquet(f"{base}/in").schema, files_per_batch=1)
+    running = ingest.start_ingest(pages.drop("doc_id"), f"{base}/index", f"{base}/checkpoint", ["url"], once=True)
+    running.awaitTermination()
+    return hosts.host_pages(ingest.read_index(spark, f"{base}/index"))

@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of rows that a Python worker gets in one Arrow batch, whatever the rows' number.
+ARROW_BYTES = 16 << 20
 #: Used only where the session names no shared folder (single-machine runs and tests).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
@@ -76,7 +78,9 @@ def materialise_buckets(df: DataFrame, name: str, key: str) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver found it."""
+    """Let Python workers import this package from where the driver found it, and bound what they are handed at once."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > ARROW_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
