@@ -4,7 +4,8 @@ Encoding has four steps. (1) Tasks split their texts into pre-tokens ("words") a
 texts as positions of words in the block's own word list, and the list itself, dealt into buckets by a hash of the word.
 (2) Word lists are shuffled by bucket, so all blocks' copies of a word meet in one task, which encodes each distinct word
 once. A word comes once from a block, however often it is used: the most frequent word costs a row for each block, not
-one for each use. (3) Ids go back to the words' blocks. (4) Each block is reassembled by position. Decoding joins each id
+one for each use. (3) Ids go back to the words' blocks; the block table is bucketed by block, so the join moves ids only,
+not the texts' words. (4) Each block is reassembled by position. Decoding joins each id
 with its bytes in the table of tokens by array index.
 
 Words travel sorted and packed, many in a row. A block holds BLOCK bytes of text (one text at least), a bucket about
@@ -31,9 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.subword import Ragged, cut, slices
-from webloom.session import materialise
+from webloom.session import materialise_buckets
 
-BLOCK = 32 << 20
+BLOCK = 12 << 20
 BUCKET = 200_000
 #: White space as the pattern's own library understands it (Unicode's White_Space).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -97,14 +98,27 @@ def _numbers(packed: bytes) -> np.ndarray:
 def split_words(texts: pa.Array, pattern: regex.Pattern) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """(words of all texts as numbers into the list, where each text begins and the end, the distinct words: most used first)."""
     codes, segments, first = cut(texts)
-    found = [pattern.findall(s) for s in segments.cast(pa.large_string()).to_pylist()]
-    words = pa.array([w.encode() for ws in found for w in ws], pa.large_binary()).dictionary_encode()
-    sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-    stream, begins = Ragged(words.indices.to_numpy(), np.cumsum(sizes) - sizes, sizes).gather(codes)
-    order = np.argsort(-np.bincount(stream, minlength=len(words.dictionary)), kind="stable")
-    place = np.empty(len(order), dtype=np.int64)
+    lists, sizes = [], []
+    for at in range(0, len(segments), 1 << 16):  # few Python strings at a time
+        found = [pattern.findall(s) for s in segments.slice(at, 1 << 16).cast(pa.large_string()).to_pylist()]
+        sizes.append(np.fromiter(map(len, found), dtype=np.int64, count=len(found)))
+        lists.append(pa.array([w for ws in found for w in ws], pa.large_string()))
+    words = pa.chunked_array(lists, pa.large_string()).combine_chunks().dictionary_encode()
+    length = np.concatenate(sizes) if sizes else np.empty(0, dtype=np.int64)
+    rows = Ragged(words.indices.to_numpy(), np.cumsum(length) - length, length)
+    counts = np.zeros(len(words.dictionary), dtype=np.int64)
+    ends = np.append(0, np.cumsum(length[codes]))
+    stream = np.empty(int(ends[-1]), dtype=np.uint32)
+    for at in range(0, len(codes), 1 << 19):
+        part = rows.gather(codes[at : at + (1 << 19)])[0]
+        stream[ends[at] : ends[at] + len(part)] = part
+        counts += np.bincount(part, minlength=len(counts))
+    order = np.argsort(-counts, kind="stable")
+    place = np.empty(len(order), dtype=np.uint32)
     place[order] = np.arange(len(order))
-    return place[stream] if len(stream) else np.empty(0, dtype=np.int64), begins[first], words.dictionary.take(pa.array(order)).to_pylist()
+    for at in range(0, len(stream), 1 << 20):
+        stream[at : at + (1 << 20)] = place[stream[at : at + (1 << 20)]]
+    return stream, ends[first], words.dictionary.cast(pa.large_binary()).take(pa.array(order)).to_pylist()
 
 
 def _bucketed(words: list[bytes], buckets: int) -> list[dict]:
@@ -142,7 +156,8 @@ def encode_texts(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id",
                 yield pa.RecordBatch.from_arrays(cells, names=["block", "doc_ids", "sizes", "stream", "n_words", "pieces"])
                 block += 1
 
-    blocks = materialise(bare.mapInArrow(split, f"block BIGINT, doc_ids ARRAY<BIGINT>, sizes BINARY, stream BINARY, n_words BIGINT, pieces {PIECES}"), "blocks")
+    made = bare.mapInArrow(split, f"block BIGINT, doc_ids ARRAY<BIGINT>, sizes BINARY, stream BINARY, n_words BIGINT, pieces {PIECES}")
+    blocks = materialise_buckets(made, "blocks", "block")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_word, known, current = byte_vocabulary(ranks).encode_word, {}, None
@@ -177,12 +192,14 @@ def encode_texts(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id",
                     start[codes], length[codes] = base + np.cumsum(sizes) - sizes, sizes
                     pools.append(pool)
                     base += len(pool)
-                ids, begins = Ragged(np.concatenate(pools), start, length).gather(_numbers(row["stream"]).astype(np.int64))
-                edges = begins[np.append(0, np.cumsum(_numbers(row["sizes"]).astype(np.int64)))]
-                raw = ids.astype("<u4").tobytes()
-                for at in range(0, len(row["doc_ids"]), 1024):
-                    cells = [raw[4 * a : 4 * b] for a, b in zip(edges[at : at + 1024].tolist(), edges[at + 1 : at + 1025].tolist())]
-                    yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"][at : at + 1024], pa.int64()), pa.array(cells, pa.binary())], names=["doc_id", "ids"])
+                known, stream = Ragged(np.concatenate(pools), start, length), _numbers(row["stream"])
+                edges = np.append(0, np.cumsum(_numbers(row["sizes"]).astype(np.int64)))
+                for at in range(0, len(row["doc_ids"]), 256):
+                    own = edges[at : at + 257]
+                    ids, begins = known.gather(stream[own[0] : own[-1]])
+                    raw, bounds = ids.astype("<u4").tobytes(), begins[own - own[0]].tolist()
+                    cells = [raw[4 * a : 4 * b] for a, b in zip(bounds, bounds[1:])]
+                    yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"][at : at + 256], pa.int64()), pa.array(cells, pa.binary())], names=["doc_id", "ids"])
 
     whole = blocks.select("block", "doc_ids", "sizes", "stream", "n_words").join(back, "block", "left")
     return whole.select("doc_ids", "sizes", "stream", "n_words", "lists").mapInArrow(reassemble, "doc_id BIGINT, ids BINARY").withColumnRenamed("doc_id", key)
