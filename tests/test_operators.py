@@ -87,7 +87,7 @@ def test_lists(spark, tmp_path):
     done = spark.createDataFrame([(1, "a", 5), (2, "a", 3)], "line_no int, site string, ts bigint")
     assert tuple(lists.last_done(done).first()) == ("a", 3)
     sites = spark.createDataFrame([("a",), ("b",)], "site string")
-    assert [r["site"] for r in lists.due(sites, lists.last_done(done), F.lit(lists.WEEK + 3)).collect()] == []
+    assert [r["site"] for r in lists.due(sites, lists.last_done(done), F.lit(lists.WEEK + 3)).collect()] == ["b"]
     assert sorted(r["site"] for r in lists.due(sites, lists.last_done(done), F.lit(lists.WEEK + 4)).collect()) == ["a", "b"]
 
 

@@ -54,9 +54,10 @@ def unpack_text(packed: str, dictionary: bytes = b"") -> str | None:
     extra = {"zdict": dictionary} if dictionary else {}
     try:
         inflate = zlib.decompressobj(-15, **extra)
-        return (inflate.decompress(raw) + inflate.flush()).decode("utf-8", "replace")
+        text = inflate.decompress(raw) + inflate.flush()
     except zlib.error:
         return None
+    return text.decode("utf-8", "replace") if inflate.eof else None
 
 
 def _varint(n: int) -> bytes:
