@@ -1,0 +1,234 @@
+import hashlib
+import re
+import zlib
+from itertools import combinations
+
+import numpy as np
+import pytest
+from conftest_texts import IDS, TEXTS
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from webloom.llm import media, neighbours, quality, secrets, sharding, simhash
+
+
+def jump(key, shards):
+    """The published algorithm, in plain integers."""
+    bucket, following = -1, 0
+    while following < shards:
+        bucket = following
+        key = (key * 2862933555777941757 + 1) & (2**64 - 1)
+        following = int((bucket + 1) * (2.0**31 / ((key >> 33) + 1)))
+    return bucket
+
+
+def test_jump_shards(spark):
+    keys = [0, 1, -1, 2**63 - 1, -(2**63), 123456789, *range(2, 300)]
+    rows = spark.createDataFrame([(k,) for k in keys], "k bigint").select("k", sharding.jump_shards(F.col("k"), 1, 24, 25).alias("s")).collect()
+    assert all(tuple(r["s"]) == tuple(jump(r["k"] & (2**64 - 1), n) for n in (1, 24, 25)) for r in rows)
+
+
+def test_shard_rows(docs, none):
+    rows = sharding.shard_rows(docs, 4).collect()
+    want = sorted(((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode()), jump(i or 0, 4), jump(i or 0, 5)) for i, t in zip(IDS, TEXTS)), key=repr)
+    assert sorted(((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["grown_shard"]) for r in rows), key=repr) == want
+    for shard in {r["shard"] for r in rows}:
+        slots = sorted(r["slot"] for r in rows if r["shard"] == shard)
+        assert slots == list(range(len(slots)))
+    assert all(r["grown_shard"] in (r["shard"], 4) and r["law"] == "key" for r in rows)
+    assert sharding.shard_rows(none, 4).count() == 0
+
+
+def filtered(pixels, kind):
+    """A row filter of the PNG format applied by hand, byte by byte."""
+    rows, depth = pixels.reshape(pixels.shape[0], -1).astype(int), pixels.shape[2]
+    out = np.zeros_like(rows)
+    for y in range(rows.shape[0]):
+        for x in range(rows.shape[1]):
+            a = rows[y, x - depth] if x >= depth else 0
+            b = rows[y - 1, x] if y else 0
+            c = rows[y - 1, x - depth] if y and x >= depth else 0
+            nearest = min(((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c)))[2]
+            out[y, x] = rows[y, x] - (0, a, b, (a + b) // 2, nearest)[kind]
+    return (out & 255).astype(np.uint8)
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3, 4])
+def test_png(depth):
+    pixels = np.random.default_rng(depth).integers(0, 256, (9, 7, depth)).astype(np.uint8)
+    flat = pixels[:, :, 0] if depth == 1 else pixels
+    assert (media.decode_png(media.encode_png(flat)) == pixels).all()
+    kinds = np.arange(9, dtype=np.uint8) % 5
+    mixed = np.stack([filtered(pixels, int(k))[y] for y, k in enumerate(kinds)])
+    assert (media.unfilter(kinds, mixed, depth).reshape(pixels.shape) == pixels).all()
+
+
+def test_damaged_png(spark):
+    good = media.encode_png(media.text_pixels(b"hello"))
+    broken = bytearray(good)
+    broken[40] ^= 1
+    rows = spark.createDataFrame([(good,), (bytes(broken),), (good[:30],), (b"no",), (None,)], "media binary")
+    errors = [r["error"] for r in media.image_features(rows).collect()]
+    assert errors[0] is None and "checksum" in errors[1] and all(errors[2:])
+
+
+def test_media_columns(docs, none):
+    rows = media.image_features(media.text_images(docs)).collect()
+
+    def want(i, t):
+        raw = (t or "").encode()
+        payload = raw.ljust(max(1, -(-len(raw) // 64)) * 64, b"\0")
+        return i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:])
+
+    got = [tuple(r[c] for c in ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32")) for r in rows]
+    assert sorted(got, key=repr) == sorted((want(i, t) for i, t in zip(IDS, TEXTS)), key=repr)
+    same = [(r["media_sha256"], r["feature"]) for r in rows if r["doc_id"] == 1]
+    assert same[0] == same[1] and media.image_features(media.text_images(none)).count() == 0
+
+
+def test_cosine_hash_keeps_similar_images_near():
+    picture = np.add.outer(np.linspace(0, 200, 80), 40 * np.sin(np.linspace(0, 6, 64)))[:, :, None]
+    noisy = np.clip(picture + np.random.default_rng(0).normal(0, 3, picture.shape), 0, 255).astype(np.uint8)
+    other = np.random.default_rng(1).integers(0, 256, picture.shape).astype(np.uint8)
+
+    def bits(p):
+        return np.unpackbits(np.frombuffer(media.cosine_hash(p), dtype=np.uint8))
+
+    base = bits(np.clip(picture, 0, 255).astype(np.uint8))
+    assert (base != bits(noisy)).sum() <= 16 < (base != bits(other)).sum()
+
+
+def test_nearest(spark):
+    rng = np.random.default_rng(5)
+    plain = rng.normal(size=(300, 8)).round(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(plain)] + [(300, plain[0].tolist()), (300, plain[0].tolist()), (301, plain[0].tolist())]
+    odd = [(320, None), (340, []), (360, [0.0] * 8), (380, [float("nan")] + [1.0] * 7), (400, [None] + [1.0] * 7), (420, [1.0]), (None, plain[1].tolist())]
+    table = spark.createDataFrame([(i, v, 0, 1.0) for i, v in rows + odd], "vec_id bigint, embedding array<double>, id int, score double")
+    got = neighbours.search_nearest(table, F.col("vec_id") % 20 == 0, k=5).collect()
+    unique = dict(rows)
+    want = set()
+    for q in (i for i in unique if i % 20 == 0):
+        best = sorted(((-float(np.dot(unique[q], v)), i) for i, v in unique.items() if i != q))[:5]
+        want |= {(q, n + 1, i) for n, (_, i) in enumerate(best)}
+    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in got} == want
+    few = neighbours.search_nearest(table.where("vec_id in (0, 1)"), F.col("vec_id") % 20 == 0, k=5).collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in few] == [(0, 1, 1)]
+    assert neighbours.search_nearest(table.where("vec_id > 310"), F.col("vec_id") > 0).count() == 0
+
+
+def test_permutation_recall():
+    rng = np.random.default_rng(6)
+    vectors = rng.normal(size=(12000, 32))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    pivots = vectors[rng.choice(len(vectors), neighbours.PIVOTS, replace=False)]
+    orders = neighbours.nearest_pivots(vectors, pivots, neighbours.PREFIX)
+    segment = neighbours.Segment(np.arange(len(vectors)), vectors, orders, len(pivots))
+    hits = 0
+    for q in range(0, 600, 20):
+        true = set(np.argsort(-(vectors @ vectors[q]))[:20])
+        hits += len(true & set(segment.search(vectors[q], orders[q], 20)[0]))
+    assert hits >= 0.9 * 20 * 30
+
+
+def plain_fingerprint(text, words):
+    import xxhash
+
+    found = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    runs = [" ".join(found[i : i + words]) for i in range(len(found) - words + 1)] or ([" ".join(found)] if found else [])
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in runs]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_near_duplicates(docs, none):
+    rows = simhash.near_duplicates(docs).collect()
+    prints = [(i, plain_fingerprint(t, 3)) for i, t in zip(IDS, TEXTS)]
+    least = {f: min((i for i, g in prints if i is not None and (f ^ g).bit_count() <= 2), default=None) for _, f in prints}
+    assert sorted(((r["doc_id"], r["fingerprint"], r["component_id"]) for r in rows), key=repr) == sorted(((i, f"{f:016x}", least[f]) for i, f in prints), key=repr)
+    assert simhash.near_duplicates(none).count() == 0
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 35), max_size=2), min_size=2, max_size=12), st.integers(0, 2**36 - 1))
+def test_balls_meet_all_within_two_bits(spark, turns, base):
+    points = sorted({base ^ sum(1 << b for b in set(t)) for t in turns})
+    near = {(a, b) for a, b in combinations(points, 2) if (a ^ b).bit_count() <= 2}
+    table = spark.createDataFrame([(1, p) for p in points], "band int, fp bigint")
+    assert {(r["a"], r["b"]) for r in simhash.ball_pairs(table, "band", 36).collect()} == near
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 140)] + [(200, 200)]
+    found = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert found == {i: 0 for i in range(1, 31)} | {i: 100 for i in range(101, 140)}
+
+
+def test_one_of_each_stays(spark):
+    base = [f"w{i}" for i in range(120)]
+    near = base[:60] + ["new"] + base[61:]
+    far = base[:60] + [f"o{i}" for i in range(60)]
+    rows = [(5, " ".join(base)), (3, " ".join(near)), (9, " ".join(base)), (4, " ".join(far)), (None, " ".join(far)), (7, ""), (8, None)]
+    kept = simhash.keep_one_of_each(spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id bigint, text string, a string"))
+    assert kept.columns == ["doc_id", "text", "a"] and sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 7]
+
+
+ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def plain_spans(text):
+    text = text or ""
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= 8]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(found)
+
+
+SECRETS = [
+    *TEXTS, "😀 password: short token: abcdefghijk", "Api_Key = 'abcdefgh' apikey:\"12345678\"x passwd=1234567", "AKIAAKIA AKIA1234567890AB", "f" * 31 + " " + "0" * 33,
+    "password==abcdefgh secret:  token=abcdefgh1", "token=aaaaaaaa " * 300,
+]
+
+
+def test_secret_spans(spark):
+    weights = secrets.train(secrets.default_samples(spark, 400))
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(SECRETS)], "doc_id int, text string")
+    rows = secrets.find_secrets(table, weights).orderBy("doc_id").collect()
+    assert [[tuple(s) for s in r["base"]] for r in rows] == [plain_spans(t) for t in SECRETS]
+    assert all(set(map(tuple, r["base"])) <= set(map(tuple, r["spans"])) for r in rows)
+    assert secrets.find_secrets(table.limit(0), weights).count() == 0
+
+
+def test_markov_models(spark):
+    weights = secrets.train(secrets.default_samples(spark))
+    keys = [hashlib.sha256(str(i).encode()).hexdigest().upper()[:40] + "zQ9" for i in range(50)]
+    names = ["spark.sql.adaptive.coalescePartitions.enabled", "get_current_working_directory_path", "internationalizationconfiguration", "thtionblererheandthoninghar", "numberOfRemainingElements", "/usr/local/lib/python/site-packages"]
+    table = spark.createDataFrame([(1, f"see {k} there") for k in keys] + [(0, f"see {n} there") for n in names], "doc_id int, text string")
+    found = [(r["doc_id"], len(r["spans"])) for r in secrets.find_secrets(table, weights).collect()]
+    assert sum(n for d, n in found if d == 0) == 0 and sum(n > 0 for d, n in found if d == 1) >= 45
+
+
+def test_redaction(spark):
+    rows = spark.createDataFrame([("é password: abcdefgh. " + "a" * 40,), ("clean",), (None,)], "t string")
+    found = rows.select(secrets.redacted(F.col("t"), secrets.base_spans(F.coalesce("t", F.lit("")))).alias("t")).collect()
+    assert [r["t"] for r in found] == ["é [SECRET] [SECRET]", "clean", None]
+
+
+def test_quality(spark, docs, none):
+    rng = np.random.default_rng(0)
+
+    def text(good):
+        words = ["".join(rng.choice(list("aeioubcdfg"), 5)) for _ in range(60)]
+        return " ".join(words if good else [w.upper() + "!!" for w in words])
+
+    marks = [(i, int(i % 3 > 0)) for i in range(300)]
+    table = spark.createDataFrame([(i, text(q)) for i, q in marks], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, q, 0) for i, q in marks] + [(None, 1, 0), (1, None, 0), (2, 7, 0)], "doc_id bigint, quality int, toxic int")
+    model = quality.fit_quality(table, labels, learn=quality.in_learning_part(F.col("doc_id")))
+    held = quality.score_quality(table, model).where(~quality.in_learning_part(F.col("doc_id"))).collect()
+    assert held and all((r["score"] >= 0.5) == (r["doc_id"] % 3 > 0) for r in held)
+    scored = quality.score_quality(docs, model).collect()
+    assert len(scored) == len(IDS) and all(0 <= r["score"] <= 1 for r in scored)
+    for other in (labels.limit(0), labels.where("quality = 1")):
+        lone = quality.fit_quality(table, other)
+        assert all(0 < r["score"] < 1 for r in quality.score_quality(docs, lone).collect())
+    assert quality.score_quality(none, quality.fit_quality(none, labels)).count() == 0

@@ -139,13 +139,13 @@ def score_quality(docs: DataFrame, model: QualityModel, key: str = "doc_id", tex
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # two dictionaries of DICTIONARY bytes
     names = [key, *(c for c in carry if c != key)]
-    alone = [] if text in names else [F.col(text).alias("text")]
-    rows = docs.select(F.struct(*map(F.col, names)).alias("kept"), *alone)
+    inside = text in names
+    rows = docs.select(F.struct(*map(F.col, names)).alias("kept"), *([] if inside else [F.col(text).alias("text")]))
     schema = f"kept {rows.schema['kept'].dataType.simpleString()}, score DOUBLE"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text") if alone else batch.column("kept").field(names.index(text))
+            texts = batch.column("kept").field(names.index(text)) if inside else batch.column("text")
             yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(shared.value.scores(texts.to_pylist()))], names=["kept", "score"])
 
     return rows.mapInArrow(score, schema).select("kept.*", "score")
