@@ -74,34 +74,52 @@ def masks(radius: int, bits: int = BITS) -> list[int]:
     return [m - (1 << 64) if m >= 1 << 63 else m for m in found]
 
 
-def _buckets(prints: DataFrame, radius: int, keys: list[str], bits: int) -> DataFrame:
-    """(keys, fps): the distinct fingerprints that share a variant, two or more, in order."""
-    distinct = prints.select(*keys, "fp").distinct()
+def ball_links(prints: DataFrame, radius: int, bits: int = BITS) -> DataFrame:
+    """(a, b, distance), a < b: links between distinct fingerprints within `radius` bits, each to its buckets' smallest.
+
+    Every two fingerprints within the radius are in one component of these links.
+    """
     near = F.array(*[F.lit(m).cast("bigint") for m in masks(radius // 2, bits)])
-    spread = distinct.select(*keys, "fp", F.explode(F.transform(near, lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
+    spread = prints.select("fp").distinct().select("fp", F.explode(F.transform(near, lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
     # The fingerprints of a bucket lie within half the radius of its variant: as many as there are masks at most.
-    met = spread.groupBy(*keys, "variant").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
-    return met.where(F.size("fps") > 1).select(*keys, "fps")
-
+    met = spread.groupBy("variant").agg(F.array_sort(F.collect_list("fp")).alias("fps")).where(F.size("fps") > 1)
+    pairs = met.select(F.get("fps", F.lit(0)).alias("a"), F.explode(F.slice("fps", 2, len(masks(radius // 2, bits)))).alias("b")).distinct()
+    return pairs.withColumn("distance", F.bit_count(F.col("a").bitwiseXOR(F.col("b")))).where(F.col("distance") <= radius)
 
-def _verified(pairs: DataFrame, radius: int) -> DataFrame:
-    return pairs.distinct().withColumn("distance", F.bit_count(F.col("a").bitwiseXOR(F.col("b")))).where(F.col("distance") <= radius)
 
+def ball_pairs(prints: DataFrame, band: str, bits: int) -> DataFrame:
+    """(band, a, b), a < b: all pairs of distinct fingerprints (column fp) of a band within 2 bits, from one-bit balls.
 
-def ball_links(prints: DataFrame, radius: int, bits: int = BITS) -> DataFrame:
-    """(a, b, distance), a < b: links between distinct fingerprints within `radius` bits, each to its buckets' smallest.
-
-    Every two fingerprints within the radius are in one component of these links.
+    A variant travels as one number - band, variant, and which bit was turned - so the shuffle, which has bits + 1 rows a
+    fingerprint, carries 8 bytes a row. Its order puts a bucket's rows side by side; a bucket has bits + 1 of them at most.
     """
-    met = _buckets(prints, radius, [], bits)
-    return _verified(met.select(F.get("fps", F.lit(0)).alias("a"), F.explode(F.slice("fps", 2, len(masks(radius // 2, bits)))).alias("b")), radius)
+    if bits > 48:
+        raise ValueError("a variant has to fit one number")
+    spread = prints.select(F.col(band).cast("bigint").alias("band"), "fp").distinct()
+    spread = spread.select("band", "fp", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("i"))
+    variant = F.when(F.col("i") == bits, F.col("fp")).otherwise(F.expr("fp ^ shiftleft(1L, i)"))
+    packed = spread.select(F.shiftleft("band", bits + 6).bitwiseOR(F.shiftleft(variant, 6)).bitwiseOR(F.col("i").cast("bigint")).alias("packed"))
+    dealt = packed.repartition(F.shiftright("packed", 6)).sortWithinPartitions("packed")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty(0, dtype=np.int64)
+
+        def pairs(rows: np.ndarray) -> pa.RecordBatch:
+            keys = rows >> 6
+            fps = np.where((rows & 63) == bits, keys, keys ^ (1 << (rows & 63)))
+            found = [(np.minimum(fps[:-n], fps[n:])[same], np.maximum(fps[:-n], fps[n:])[same]) for n in range(1, bits + 1) if n < len(rows) and (same := keys[n:] == keys[:-n]).any()]
+            a, b = (np.concatenate([f[k] for f in found]) if found else np.empty(0, dtype=np.int64) for k in (0, 1))
+            low = (1 << bits) - 1
+            return pa.RecordBatch.from_arrays([pa.array(a >> bits), pa.array(a & low), pa.array(b & low)], names=["band", "a", "b"])
 
+        for batch in batches:
+            rows = np.concatenate([held, batch.column("packed").to_numpy()])
+            last = int(np.searchsorted(rows, (rows[-1] >> 6) << 6)) if len(rows) else 0
+            held = rows[last:]
+            yield pairs(rows[:last])
+        yield pairs(held)
 
-def ball_pairs(prints: DataFrame, radius: int, band: str, bits: int) -> DataFrame:
-    """(band, a, b, distance), a < b: all pairs of distinct fingerprints of a band within `radius` bits."""
-    met = _buckets(prints, radius, [band], bits)
-    each = met.select(band, "fps", F.posexplode("fps").alias("at", "a"))
-    return _verified(each.select(band, "a", F.explode(F.slice("fps", F.col("at") + 2, F.greatest(F.size("fps") - F.col("at") - 1, F.lit(0)))).alias("b")), radius)
+    return dealt.mapInArrow(meet, "band BIGINT, a BIGINT, b BIGINT").distinct().where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).withColumnRenamed("band", band)
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -154,6 +172,11 @@ def word_set_bands(text: str | None) -> np.ndarray:
     return bits @ (1 << np.arange(BAND_BITS, dtype=np.int64))
 
 
+def text_digest(text):
+    """16 bytes of SHA-256, as a text's name."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
+
 def jaccard(a: str | None, b: str | None, words: int) -> float:
     """Of the sets of word shingles; 1 for two texts without words."""
     one, two = set(shingle_hashes(a, words).tolist()), set(shingle_hashes(b, words).tolist())
@@ -168,7 +191,7 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, text
     fingerprint are compared with the first of them, and the first ones of linked fingerprints with each other, so a
     group of copies costs as many comparisons as it has texts. Every candidate is verified on whole texts.
     """
-    bare = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).select(F.unhex(F.sha2("text", 256)).alias("digest"), "text")
+    bare = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).select(text_digest("text").alias("digest"), "text")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,7 +202,7 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, text
     prints = printed.select("digest", F.posexplode("bands").alias("band", "fp"))
     first = materialise(prints.groupBy("band", "fp").agg(F.min("digest").alias("first")), "first")
     inside = prints.join(first, ["band", "fp"]).where("digest <> first").select(F.col("first").alias("a"), F.col("digest").alias("b"))
-    met = ball_pairs(first, 2, "band", BAND_BITS)
+    met = ball_pairs(first, "band", BAND_BITS)
     one, two = (first.select("band", F.col("fp").alias(x), F.col("first").alias(f"first_{x}")) for x in "ab")
     across = met.join(one, ["band", "a"]).join(two, ["band", "b"]).where("first_a <> first_b")
     across = across.select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"))
@@ -202,7 +225,7 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, k
     """The rows of `docs` without near-duplicates: of each group of linked texts the row with the smallest key stays (nulls last)."""
     roots = components(similar_links(docs, words, similarity, text))
     digest, root, nth = "__digest", "__root", "__nth"
-    keyed = docs.withColumn(digest, F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
+    keyed = docs.withColumn(digest, text_digest(F.coalesce(F.col(text), F.lit(""))))
     rooted = keyed.join(roots.select(F.col("node").alias(digest), F.col("root").alias(root)), digest, "left")
     of = W.partitionBy(F.coalesce(root, digest)).orderBy(F.asc_nulls_last(key), digest)
     return rooted.withColumn(nth, F.row_number().over(of)).where(F.col(nth) == 1).select(*docs.columns)

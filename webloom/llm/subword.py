@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 
 NONE = np.int32(2**31 - 1)
 LONGEST_WORD = 48
-MOST_KNOWN = 400_000
+MOST_KNOWN = 200_000
 LETTER, DIGIT, OTHER = 0, 1, 2
 #: What the pattern tells apart, by code point of the plain characters.
 LATIN_KIND = np.array([LETTER if (c := unicodedata.category(chr(i))[0]) == "L" else DIGIT if c == "N" else OTHER for i in range(0x180)], dtype=np.int8)
