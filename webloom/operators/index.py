@@ -28,9 +28,13 @@ class Index:
     def write(self, path: str) -> Index:
         """Lay the tables out for lookups: postings and terms in ranges of the term, sorted, so that row groups are skipped."""
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        for name in ("postings", "terms"):
-            getattr(self, name).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/{name}")
-        return Index.read(self.docs.sparkSession, path)
+        spark = self.docs.sparkSession
+        self.postings.write.mode("overwrite").parquet(f"{path}/unsorted")  # dealing by range reads its input twice
+        postings = spark.read.parquet(f"{path}/unsorted")
+        postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        terms = postings.groupBy("term").agg(F.count("*").alias("df"))
+        terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+        return Index.read(spark, path)
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Index:

@@ -45,8 +45,13 @@ def _index(spark: SparkSession, sf_dir: str) -> index.Index:
     return index.build_index(_pages(spark, sf_dir))
 
 
+def _stored_index(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The index written once, for searches, which look several things up in it."""
+    return _index(spark, sf_dir).write(scratch_path(spark, "index"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(_index(spark, sf_dir), cases.QUERIES["search_and"])
+    return search.search(_stored_index(spark, sf_dir), cases.QUERIES["search_and"])
 
 
 # Text and index tables
@@ -100,7 +105,7 @@ def segment_levels(spark, sf_dir):
 
 def _search(name: str) -> Query:
     def run(spark, sf_dir):
-        return search.search(_index(spark, sf_dir), cases.QUERIES[name])
+        return search.search(_stored_index(spark, sf_dir), cases.QUERIES[name])
 
     run.__name__ = name
     return run
@@ -129,7 +134,7 @@ def spellfix(spark, sf_dir):
 @query(sql.page_indexed(cases.SITE))
 def page_indexed(spark, sf_dir):
     """The first page of a site, looked for by its title under another form of its address."""
-    ix = _index(spark, sf_dir)
+    ix = _stored_index(spark, sf_dir)
     page = ix.docs.where(F.col("host") == cases.SITE).orderBy("doc_id").select("url", "title").first()
     return search.page_indexed(ix, page["url"].replace("https://", "http://www.") + "/#top", page["title"], cases.SITE, most=300)
 
