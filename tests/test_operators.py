@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from webloom.operators import frontier, hosts, index, reports, robots, search
 from webloom.plans import cases
-from webloom.sources import lists
+from webloom.sources import lists, responses
 
 PAGES = [
     (0, "https://a.org/0", "apple pie", "", "apple and cherry pie with sugar"),
@@ -83,7 +83,7 @@ def test_lists(spark, tmp_path):
     row = body.select(lists.llms_links(F.col("l")).alias("l"), lists.sitemap_locs(F.col("s")).alias("s"), lists.sitemap_report(F.col("s"), 1).alias("r")).first()
     assert row["l"] == ["https://a.org/x"] and row["s"] == ["a"] and row["r"]["total"] == 2 and row["r"]["locs"] == ["a"]
     posts = '{"posts":[{"post":{"id":1,"name":"n","body":"b","url":null},"community":{"name":"c","title":"T"}},{"post":{"id":2,"name":"n","deleted":true},"community":{"name":"c"}}]}'
-    assert [(r["id"], r["description"]) for r in lists.community_pages(spark.createDataFrame([(posts,)], "body string")).collect()] == [(1, "c/c - T")]
+    assert [(r["id"], r["description"]) for r in lists.community_pages(spark.createDataFrame([("https://c.org", posts)], "site string, body string")).collect()] == [(1, "c/c - T")]
     done = spark.createDataFrame([(1, "a", 5), (2, "a", 3)], "line_no int, site string, ts bigint")
     assert tuple(lists.last_done(done).first()) == ("a", 3)
     sites = spark.createDataFrame([("a",), ("b",)], "site string")
@@ -110,3 +110,33 @@ def test_costs(spark):
 def test_dense_ids(spark):
     rows = index.dense_ids(spark.createDataFrame([(x,) for x in "dbacb"], "u string"), ["u"], 10).orderBy("doc_id").collect()
     assert [(r["u"], r["doc_id"]) for r in rows] == [("a", 10), ("b", 11), ("b", 12), ("c", 13), ("d", 14)]
+
+
+def test_content_pages(spark):
+    rows = [
+        ("u1", None, "<title>T &amp; U</title><body><p>one<p>two <!-- x -->"), ("u2", "TEXT/HTML", "<body> <script>x</script>"), ("u3", "text/plain", "\n# Head\nbody"),
+        ("u4", "image/png", "x"), ("u5", "application/json", "{}"), ("u6", "text/plain", None), ("u7", "text/markdown", "\u00a0\n "),
+    ]
+    pages = responses.content_pages(spark.createDataFrame(rows, "url string, ctype string, body string"))
+    assert sorted(tuple(r) for r in pages.collect()) == [("u1", "T & U", "", "one two", "html"), ("u3", "Head", "", "# Head body", "html")]
+    assert responses.content_pages(spark.createDataFrame([], "url string, ctype string, body string")).count() == 0
+
+
+def test_stored_pages(spark):
+    lines = ['{"u":"a","t":"","x":"plain","z":"!bad!"}', '{"u":"b","x":" "}', '{"u":"c","t":"only title"}', '{"t":"no address"}', "{", "", None]
+    pages = responses.stored_pages(spark.createDataFrame([(x,) for x in lines], "value string"))
+    assert sorted(tuple(r) for r in pages.collect()) == [("a", "", "", "plain"), ("c", "only title", "", "")]
+
+
+def test_german_frontier(spark):
+    links = [("https://a.de", "https://a.de/x"), ("https://b.com", "https://b.com/en"), ("https://b.com", "https://b.com/de/y"), ("https://c.com", "https://c.com/en")]
+    found = frontier.german_frontier(spark.createDataFrame(links, "site string, url string"))
+    assert {tuple(r) for r in found.collect()} == {("https://a.de", "https://a.de/x"), ("https://b.com", "https://b.com/de/y"), ("https://c.com", "https://c.com/de/")}
+
+
+def test_measured_pages(spark):
+    html = '<img src="/1.png"><img src="/0.png"><link href="b.css"><img src="/1.png">'
+    pages = spark.createDataFrame([("h", "https://h.org/d/", html), ("k", "https://k.org/", None)], "host string, url string, html string")
+    sizes = spark.createDataFrame([("https://h.org/1.png", 7), ("https://h.org/0.png", 0), ("https://h.org/d/b.css", 5)], "url string, bytes bigint")
+    found = {r["host"]: (r["assets"], r["bytes_per_visit"]) for r in reports.measure_pages(pages, sizes, 0.085, 1000).collect()}
+    assert found["h"] == (2, len(html) + 12) and found["k"][0] == 0

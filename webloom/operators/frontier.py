@@ -35,8 +35,12 @@ def mark_repeated_shapes(pages: DataFrame, order: str, url: str = "url", site: s
     return pages.withColumn("shape", shape).withColumn("repeated", F.when(F.col("shape").isNull(), False).otherwise(before))
 
 
-def german_frontier(links: DataFrame, url: str = "url") -> DataFrame:
-    return links.where(german_url(F.col(url)))
+def german_frontier(links: DataFrame, site: str = "site", url: str = "url") -> DataFrame:
+    """(site, url): all links of German sites, of others the German part, or its usual folder if no link leads there."""
+    own = german_url(F.concat(F.col(site), F.lit("/")))
+    kept = links.where(own | german_url(F.col(url))).select(site, url)
+    without = links.select(site).distinct().join(kept.select(site).distinct(), site, "left_anti")
+    return kept.unionByName(without.select(site, F.concat(site, F.lit("/de/")).alias(url)))
 
 
 def first_pages(pages: DataFrame, per_site: int, order: str, site: str = "site") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webloom.functions.html import asset_links, resolved_links
+
 #: Linked files of a page that are counted, least communities seen and share of a flagged host.
 MOST_ASSETS = 25
 LEAST_SEEN, LEAST_SHARE = 5, 0.8
@@ -25,6 +27,13 @@ def page_weight(pages: DataFrame, sizes: DataFrame) -> DataFrame:
     return linked.groupBy("host", "html_bytes").agg(F.count("bytes").alias("assets"), (F.first("html_bytes") + F.coalesce(F.sum("bytes"), F.lit(0))).alias("bytes_per_visit"))
 
 
+def measure_pages(pages: DataFrame, sizes: DataFrame, egress: float, visits: int, most: int = MOST_ASSETS) -> DataFrame:
+    """Weight and cost of landed front pages(host, url, html): their bytes and those of the first linked files, by sizes(url, bytes)."""
+    linked = page_assets(resolved_links(F.col("url"), asset_links(F.col("html"))), most)
+    read = pages.select("host", F.octet_length("html").cast("bigint").alias("html_bytes"), linked.alias("asset_urls"))
+    return site_cost(page_weight(read, sizes), egress, visits)
+
+
 def browser_weight(responses: DataFrame, kinds: DataFrame) -> DataFrame:
     """(host, bytes_per_visit, js_bytes, requests): received sizes with their kinds; a size without a kind counts."""
     joined = responses.join(kinds, ["host", "request_id"], "left")

@@ -18,6 +18,8 @@ QUERIES = {
     "search_site": f"de site:{SITE}",
     "bm25_term": "ingor",
 }
+#: A time in seconds: some of the orders' customers were last seen over a week before it.
+NOW = 883612800
 AGENT = "Mozilla/5.0 (compatible; WebloomBot/1.0; +https://webloom.example/robots.txt)"
 
 ROBOTS = {
@@ -65,3 +67,27 @@ SEED_RESULTS = [("https://one.example", ""), ("http://two.example", ""), ("https
 
 def seed_lines(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(s,) for s in SEEDS], "value string")
+
+
+#: Sites and what they answered, one way of discovery each; and what a reading by hand finds.
+SITES = ("https://llms.example", "https://owner.example", "https://map.example", "https://wiki.example", "https://plain.example", "https://page.example")
+LLMS = [
+    ("https://llms.example", "# x\n- [a](https://llms.example/a?x=1&amp;y=2)\n- [m](mailto:b)"),
+    ("https://owner.example", "[a](https://owner.example/from-llms)"),
+    ("https://plain.example", " <html>[a](https://plain.example/no)</html>"),
+]
+SUBMITTED = [("https://owner.example", "https://owner.example/own.xml")]
+LISTED = [("https://map.example", 0, "https://map.example/index.xml"), ("https://wiki.example", 0, "https://wiki.example/gone.xml")]
+LANDED = [
+    ("https://owner.example/own.xml", "<urlset><url><loc>https://owner.example/1</loc></url></urlset>"),
+    ("https://map.example/index.xml", "<sitemapindex><loc>https://map.example/a.xml?x=1&amp;y=2</loc><loc>https://map.example/index.xml</loc></sitemapindex>"),
+    ("https://map.example/a.xml?x=1&y=2", "<urlset><loc> https://map.example/1?a&amp;b </loc><loc>https://map.example/2</loc><LOC>no</LOC></urlset>"),
+    ("https://plain.example/sitemap.xml", "<urlset><loc>https://plain.example/usual</loc></urlset>"),
+]
+WIKIS = [("https://wiki.example",), ("https://map.example",)]
+DISCOVERED = [
+    ("https://llms.example", "llms.txt", "https://llms.example/a?x=1&y=2"), ("https://owner.example", "sitemap", "https://owner.example/1"),
+    ("https://map.example", "sitemap", "https://map.example/1?a&amp;b"), ("https://map.example", "sitemap", "https://map.example/2"),
+    ("https://wiki.example", "mediawiki", None), ("https://plain.example", "sitemap", "https://plain.example/usual"),
+    ("https://page.example", "html", "https://page.example/"),
+]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from webloom.functions import codec, html, lang, text, urls
 from webloom.operators import frontier, hosts, index, reports, robots, search
 from webloom.plans import cases, sql
-from webloom.sources import lists
+from webloom.sources import lists, responses
 from webloom.session import scratch_path, table
 from webloom.streaming import ingest
 
@@ -241,6 +241,106 @@ def last_done(spark, sf_dir):
     return lists.last_done(log)
 
 
+# Landed responses
+
+
+@query(sql.content_pages())
+def content_pages(spark, sf_dir):
+    kinds = F.array(*map(F.lit, ("text/plain; charset=utf-8", "Text/Markdown", "application/pdf", "text/css")))
+    answers = table(spark, sf_dir, "documents").select(F.concat(F.lit("https://h.example/"), F.col("doc_id").cast("string")).alias("url"), F.get(kinds, F.col("doc_id") % 4).alias("ctype"), F.col("text").alias("body"))
+    return responses.content_pages(answers, "sitemap")
+
+
+@query(sql.stored_pages())
+def stored_pages(spark, sf_dir):
+    """Lines of stored pages: every second text is packed, every third page has no title, every fifth line is cut off."""
+    docs, packed = table(spark, sf_dir, "documents"), F.col("doc_id") % 2 == 0
+    page = F.struct(
+        F.concat(F.lit("https://h.example/"), F.col("doc_id").cast("string")).alias("u"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("source")).alias("t"), F.lit("d").alias("d"),
+        F.when(packed, "").otherwise(F.col("text")).alias("x"), F.when(packed, codec.packed_text(F.col("text"))).otherwise("").alias("z"),
+    )
+    line = F.when(F.col("doc_id") % 5 == 0, F.substring(F.to_json(page), 1, 9)).otherwise(F.to_json(page))
+    return responses.stored_pages(docs.select(line.alias("value")))
+
+
+@query(sql.discover())
+def discover(spark, sf_dir):
+    def rows(values, schema):
+        return spark.createDataFrame(values, schema)
+
+    return responses.discover(
+        rows([(s,) for s in cases.SITES], "site string"), rows(cases.LLMS, "site string, body string"), rows(cases.LISTED, "site string, pos int, sitemap string"),
+        rows(cases.LANDED, "addr string, body string"), rows(cases.WIKIS, "site string"), rows(cases.SUBMITTED, "site string, sitemap string"),
+    )
+
+
+@query(sql.community_pages())
+def community_pages(spark, sf_dir):
+    gone = (F.col("doc_id") % 7 == 0).alias("deleted"), (F.col("doc_id") % 11 == 0).alias("removed")
+    post = F.struct(F.col("doc_id").alias("id"), F.col("source").alias("name"), F.col("text").alias("body"), *gone)
+    entry = F.struct(post.alias("post"), F.struct(F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("title"), F.col("source").alias("name")).alias("community"))
+    answers = table(spark, sf_dir, "documents").select(F.lit("https://c.example").alias("site"), F.to_json(F.struct(F.array(entry).alias("posts"))).alias("body"))
+    return lists.community_pages(answers)
+
+
+@query(sql.listed_communities())
+def listed_communities(spark, sf_dir):
+    """Community lists whose flags give the hosts to flag."""
+    events = table(spark, sf_dir, "events")
+    one = F.struct(F.struct(F.col("event_id").alias("id"), F.concat(F.lit("N"), F.col("event_id").cast("string")).alias("name"), (F.col("event_type") == "error").alias("nsfw")).alias("community"))
+    answers = events.select(F.col("user_id").alias("host"), F.to_json(F.struct(F.array(one).alias("communities"))).alias("body"))
+    return reports.flagged_hosts(lists.listed_communities(answers), "host", "name", F.col("flagged"), share=0.25)
+
+
+@query(sql.wiki_pages())
+def wiki_pages(spark, sf_dir):
+    page = F.struct(F.concat("p_name", F.lit(" (é/"), F.col("p_partkey").cast("string"), F.lit(")")).alias("title"), F.when(F.col("p_size") > 5, F.concat(F.lit("  "), "p_type")).alias("extract"), F.col("p_brand").alias("description"))
+    answers = table(spark, sf_dir, "part").select(F.to_json(F.struct(F.struct(F.array(page).alias("pages")).alias("query"))).alias("body"))
+    return lists.wiki_pages(answers, F.lit("https://w.example/wiki/$1"))
+
+
+@query(sql.wiki_chunks())
+def wiki_chunks(spark, sf_dir):
+    return lists.wiki_chunks(table(spark, sf_dir, "part").select(F.col("p_brand").alias("site"), "p_partkey"), "p_partkey")
+
+
+@query(sql.sites_due())
+def sites_due(spark, sf_dir):
+    log = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("line_no"), F.col("o_custkey").alias("site"), F.unix_timestamp("o_orderdate").alias("ts"))
+    sites = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("site"))
+    return lists.due(sites, lists.last_done(log), F.lit(cases.NOW))
+
+
+@query(sql.site_names())
+def site_names(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", lists.is_site_name(urls.host_port(F.col("url"))).alias("host_ok"), lists.is_site_name(F.col("url")).alias("url_ok"))
+
+
+@query(sql.robots_sitemaps())
+def robots_sitemaps(spark, sf_dir):
+    return robots.sitemaps(cases.robots_files(spark)).select("site", "sitemap")
+
+
+@query(sql.german_frontier())
+def german_frontier(spark, sf_dir):
+    links = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^([a-z]+://[^/?#]+)", 1).alias("site"), "url")
+    return frontier.german_frontier(links)
+
+
+@query(sql.reachable())
+def reachable(spark, sf_dir):
+    """Five steps through a tree of parts that also leads back to its root."""
+    key = F.col("p_partkey")
+    edges = table(spark, sf_dir, "part").select(key.cast("string").alias("src"), F.explode(F.array(*(k.cast("string") for k in (key * 2, key * 2 + 1, F.lit(1))))).alias("dst"))
+    return frontier.reachable(spark.createDataFrame([("1",)], "url string"), edges, 5)
+
+
+@query(sql.merged_seen())
+def merged_seen(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", codec.fnv1a(F.col("url")).alias("hash"))
+    return frontier.merge_seen(pages.where("page_id % 2 = 0"), pages.where("page_id % 3 = 0"))
+
+
 # Language
 
 
@@ -265,6 +365,11 @@ def lang_german_text(spark, sf_dir):
     return _lang(spark, sf_dir, lambda u, *fields: lang.is_german_text(*fields))
 
 
+@query(sql.lang_kept())
+def lang_kept(spark, sf_dir):
+    return _lang(spark, sf_dir, lambda *fields: lang.language_ok("en", *fields))
+
+
 @query(sql.lang_german_url())
 def lang_german_url(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", lang.german_url(F.col("url")).alias("german"))
@@ -333,6 +438,44 @@ def browser_weight(spark, sf_dir):
     return reports.browser_weight(sizes, kinds)
 
 
+@query(sql.measured_pages())
+def measured_pages(spark, sf_dir):
+    """Weight and cost of every page with linked files written into it; one of them has no size, one is named twice."""
+    pages, number = table(spark, sf_dir, "pages"), F.col("page_id").cast("string")
+    linked = F.concat("html", F.lit('<img src="/p'), number, F.lit('.png"><link href="/a.css"><script src="https://cdn.example/x.js"></script><img src="/p'), number, F.lit('.png">'))
+    own = pages.select(F.concat(F.regexp_extract("url", "^([a-z]+://[^/?#]+)", 1), F.lit("/p"), number, F.lit(".png")).alias("url"), (F.col("page_id") * 10).alias("bytes"))
+    sizes = own.unionByName(spark.createDataFrame([("https://cdn.example/x.js", 5000)], "url string, bytes bigint"))
+    return reports.measure_pages(pages.select(number.alias("host"), "url", linked.alias("html")), sizes, 0.085, 1000)
+
+
+@query(sql.cost_report())
+def cost_report(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    weights = pages.groupBy(urls.host_port(F.col("url")).alias("host")).agg(F.sum(F.octet_length("html")).alias("bytes_per_visit"), F.count("*").alias("assets"))
+    browser = F.col("assets") > 1
+    weights = weights.withColumns({"basis": F.when(browser, "browser").otherwise("static"), "js_bytes": F.floor(F.col("bytes_per_visit") / 2), "requests": F.col("assets") * 3})
+    return reports.cost_report_lines(reports.site_cost(weights, 0.085, 1000))
+
+
+@query(sql.latest_page_counts())
+def latest_page_counts(spark, sf_dir):
+    known = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("host"), F.lit(0).cast("bigint").alias("pages"))
+    live = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("host")).agg(F.count("*").alias("pages"))
+    return reports.latest_page_counts(known, live)
+
+
+@query(sql.flagged_totals(0.25))
+def flagged_totals(spark, sf_dir):
+    flagged = reports.flagged_hosts(table(spark, sf_dir, "events"), "user_id", "event_id", F.col("event_type") == "error", share=0.25)
+    return reports.flagged_totals(flagged)
+
+
+@query(sql.labels())
+def labels(spark, sf_dir):
+    docs, words = table(spark, sf_dir, "documents"), F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", text.short(words, 30).alias("short"), text.escape_html(F.substring(words, 1, 200)).alias("escaped"), urls.count_label(F.col("n_chars")).alias("label"))
+
+
 # Codecs and streaming
 
 
@@ -359,3 +502,12 @@ def ingest_stream(spark, sf_dir):
     running = ingest.start_ingest(pages.drop("doc_id"), f"{base}/index", f"{base}/checkpoint", ["url"], once=True)
     running.awaitTermination()
     return hosts.host_pages(ingest.read_index(spark, f"{base}/index"))
+
+
+@query(sql.compacted_terms())
+def compacted_terms(spark, sf_dir):
+    """Three segments of pages, committed one after the other and then joined into one; its terms."""
+    base = scratch_path(spark, "compact")
+    for part in range(3):
+        ingest.commit_batch(_pages(spark, sf_dir).where(F.col("doc_id") % 3 == part).drop("doc_id"), part, f"{base}/index", ["url"])
+    return ingest.compact(spark, f"{base}/index", f"{base}/whole").terms

@@ -269,3 +269,104 @@ def browser_weight() -> str:
 
 def host_counts() -> str:
     return "SELECT source || '.example.org' AS host, count(*) AS pages FROM documents GROUP BY ALL"
+
+
+def content_pages() -> str:
+    return f"WITH {PAGES} SELECT 'https://h.example/' || doc_id AS url, title, '' AS description, text, 'sitemap' AS source FROM pages_ WHERE doc_id % 4 <> 2 AND trim(title || text) <> ''"
+
+
+def stored_pages() -> str:
+    title = "CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END"
+    return f"SELECT 'https://h.example/' || doc_id AS url, {title} AS title, 'd' AS description, text FROM documents WHERE doc_id % 5 <> 0 AND trim({title} || CASE WHEN doc_id % 2 = 0 THEN '' ELSE text END) <> ''"
+
+
+def discover() -> str:
+    return f"SELECT * FROM (VALUES {_values(cases.DISCOVERED)}) v(site, method, url)"
+
+
+def community_pages() -> str:
+    about = "'c/' || source || CASE WHEN doc_id % 2 = 0 THEN ' - ' || lang ELSE '' END"
+    body = f"left(trim(regexp_replace(text, '{SPACE}', ' ', 'g')), 2000)"
+    return f"SELECT doc_id AS id, 'https://c.example/post/' || doc_id AS url, source AS title, {about} AS description, {body} AS text, 'lemmy' AS source FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 11 <> 0"
+
+
+def listed_communities() -> str:
+    return flagged_ratio(0.25)
+
+
+def wiki_pages() -> str:
+    title = "p_name || ' (é/' || p_partkey || ')'"
+    return f"SELECT 'https://w.example/wiki/' || replace(replace({title}, ' ', '_'), 'é', '%C3%A9') AS url, {title} AS title, p_brand AS description, p_type AS text, 'mediawiki' AS source FROM part WHERE p_size > 5"
+
+
+def wiki_chunks() -> str:
+    return "SELECT p_brand AS site, p_partkey, ((row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) // 20)::INT AS chunk FROM part"
+
+
+def sites_due() -> str:
+    return f"SELECT c_custkey AS site FROM customer LEFT JOIN ({last_done()}) ON site = c_custkey WHERE {cases.NOW} - coalesce(done, 0) > 7 * 86400"
+
+
+def site_names() -> str:
+    return f"SELECT page_id, regexp_full_match(lower({AUTHORITY}), '[a-z0-9-]+(\\.[a-z0-9-]+)+') AS host_ok, false AS url_ok FROM pages"
+
+
+def robots_sitemaps() -> str:
+    return "SELECT 'https://a.example/sitemap.xml' AS sitemap, 'a.example' AS site"
+
+
+def german_frontier() -> str:
+    def german(host: str, path: str) -> str:
+        domain = " OR ".join(f"ends_with({host}, '{d}')" for d in GERMAN_DOMAINS)
+        return rf"({domain} OR regexp_matches({host}, '^(www\.)?de\.') OR lower(string_split(ltrim({path}, '/'), '/')[1]) IN {_list(GERMAN_SEGMENTS)})"
+
+    links = f"SELECT regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS site, url, {german('lower(' + HOST_NAME + ')', PATH)} AS german FROM pages"
+    return f"WITH l AS ({links}) SELECT site, url FROM l WHERE german UNION ALL SELECT site, site || '/de/' FROM l GROUP BY site HAVING NOT bool_or(german)"
+
+
+def reachable() -> str:
+    return """WITH RECURSIVE e AS (SELECT p_partkey AS src, unnest([p_partkey * 2, p_partkey * 2 + 1, 1]) AS dst FROM part),
+walk AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM walk JOIN e ON e.src = walk.node WHERE walk.depth < 5)
+SELECT node::VARCHAR AS url, min(depth)::INT AS depth FROM walk GROUP BY ALL"""
+
+
+def merged_seen() -> str:
+    return f"SELECT DISTINCT {FNV_HEX} AS hash FROM pages WHERE page_id % 2 = 0 OR page_id % 3 = 0"
+
+
+def lang_kept() -> str:
+    return f"SELECT doc_id, e.verdict OR g.verdict AS verdict FROM ({lang('english')}) e JOIN ({lang('german')}) g USING (doc_id)"
+
+
+def _usd(bytes_: str, times: int) -> str:
+    return f"floor({bytes_} / 1e9 * 0.085 * {times} * 10000 + 0.5) / 10000"
+
+
+def measured_pages() -> str:
+    html = """html || '<img src="/p' || page_id || '.png"><link href="/a.css"><script src="https://cdn.example/x.js"></script><img src="/p' || page_id || '.png">'"""
+    pages = f"SELECT page_id::VARCHAR AS host, strlen({html})::BIGINT AS html_bytes, 1 + (page_id > 0)::BIGINT AS assets, strlen({html}) + 5000 + page_id * 10 AS bytes_per_visit FROM pages"
+    return f"SELECT *, {_usd('bytes_per_visit', 1000)} AS usd_per_1000_visits, {_usd('bytes_per_visit', 1000)} AS usd_per_hour, {_usd('bytes_per_visit', 10000)} AS usd_per_10_hours FROM ({pages})"
+
+
+def cost_report() -> str:
+    js = "CASE WHEN n > 1 THEN ((b // 2) // 1024) || ' KB' ELSE 'n/a' END"
+    line = f"printf('| %s | %d KB | %s | %d | %.4f | %.4f | %.4f |', host, b // 1024, {js}, CASE WHEN n > 1 THEN n * 3 ELSE n + 1 END, {_usd('b', 1000)}, {_usd('b', 1000)}, {_usd('b', 10000)})"
+    return f"SELECT {line} AS line FROM (SELECT {AUTHORITY} AS host, sum(strlen(html))::BIGINT AS b, count(*) AS n FROM pages GROUP BY ALL)"
+
+
+def latest_page_counts() -> str:
+    return "SELECT coalesce(c_custkey, host) AS host, coalesce(pages, 0) AS pages FROM customer FULL JOIN (SELECT o_custkey AS host, count(*) AS pages FROM orders GROUP BY ALL) ON host = c_custkey"
+
+
+def flagged_totals(share: float) -> str:
+    return f"SELECT count(*) AS hosts, sum(seen)::BIGINT AS seen, sum(flagged)::BIGINT AS flagged, count(*) FILTER (is_flagged) AS flagged_hosts FROM ({flagged_ratio(share)})"
+
+
+def labels() -> str:
+    short = "CASE WHEN length(trim(text)) > 30 THEN left(trim(text), 30) || '…' ELSE trim(text) END"
+    escaped = """replace(replace(replace(replace(left(text, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')"""
+    return f"SELECT doc_id, {short} AS short, {escaped} AS escaped, CASE WHEN n_chars >= 100 THEN '100+' ELSE n_chars::VARCHAR END AS label FROM documents"
+
+
+def compacted_terms() -> str:
+    return _on_index("SELECT term, count(*) AS df FROM postings_ JOIN docs_ USING (doc_id) GROUP BY term")

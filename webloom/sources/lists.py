@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from webloom.functions.html import unescape_each
+from webloom.functions.text import clip, collapse
+from webloom.functions.urls import wiki_address
+
 PAGE = "url STRING, title STRING, description STRING, text STRING, source STRING"
 STORED_PAGE = "u STRING, t STRING, d STRING, x STRING, z STRING"
 SITEMAP_SCAN = (
@@ -15,6 +19,7 @@ SITEMAP_SCAN = (
 _COST = "STRUCT<host:STRING,pages_indexed:INT,html_bytes:BIGINT,assets:INT,bytes_per_visit:BIGINT,usd_per_1000_visits:DOUBLE,usd_per_hour:DOUBLE,usd_per_10_hours:DOUBLE,js_bytes:BIGINT,requests:INT,basis:STRING,error:STRING>"
 SITE_COSTS = f"egress_usd_per_gb DOUBLE, visits_per_hour INT, sites ARRAY<{_COST}>, unreachable ARRAY<{_COST}>"
 COMMUNITY_POSTS = "posts ARRAY<STRUCT<post:STRUCT<id:BIGINT,name:STRING,body:STRING,url:STRING,deleted:BOOLEAN,removed:BOOLEAN>,community:STRUCT<title:STRING,name:STRING>>>"
+COMMUNITIES = "communities ARRAY<STRUCT<community:STRUCT<id:BIGINT,name:STRING,nsfw:BOOLEAN>>>"
 WIKI_TITLES = "query STRUCT<allpages:ARRAY<STRUCT<title:STRING>>>"
 WIKI_EXTRACTS = "query STRUCT<pages:ARRAY<STRUCT<title:STRING,extract:STRING,description:STRING>>>"
 
@@ -84,7 +89,7 @@ def sitemap_locs(body: Column) -> Column:
 def sitemap_report(body: Column, keep: int = 60) -> Column:
     """Struct of total, the first `keep` addresses and whether they are sitemaps themselves."""
     found = F.regexp_extract_all(body, F.lit(LOC_LENIENT), F.lit(1))
-    return F.struct(F.size(found).alias("total"), F.slice(found, 1, keep).alias("locs"), F.lower(body).contains("<sitemapindex").alias("is_index"))
+    return F.struct(F.size(found).alias("total"), unescape_each(F.slice(found, 1, keep)).alias("locs"), is_sitemap_index(body).alias("is_index"))
 
 
 def robots_sitemaps(body: Column, most: int = 10) -> Column:
@@ -93,12 +98,21 @@ def robots_sitemaps(body: Column, most: int = 10) -> Column:
     return F.slice(F.array_distinct(found), 1, most)
 
 
-def community_pages(responses: DataFrame, body: str = "body") -> DataFrame:
+def community_pages(responses: DataFrame, body: str = "body", site: str = "site") -> DataFrame:
     """(id, url, title, description, text, source) of landed community listings: no deleted, removed, nameless or empty posts."""
-    post = responses.select(F.explode(F.from_json(body, COMMUNITY_POSTS)["posts"]).alias("p")).select("p.post.*", F.col("p.community.name").alias("community"), F.col("p.community.title").alias("community_title"))
-    kept = post.where("id <> 0 and not coalesce(deleted, false) and not coalesce(removed, false) and trim(concat(coalesce(name, ''), coalesce(body, ''))) <> ''")
-    about = F.concat(F.lit("c/"), F.col("community"), F.when(F.coalesce("community_title", F.lit("")) == "", "").otherwise(F.concat(F.lit(" - "), F.col("community_title"))))
-    return kept.select("id", "url", F.col("name").alias("title"), about.alias("description"), F.substring(F.trim(F.coalesce("body", F.lit(""))), 1, 2000).alias("text"), F.lit("lemmy").alias("source"))
+    post = responses.select(F.col(site).alias("site"), F.explode(F.from_json(body, COMMUNITY_POSTS)["posts"]).alias("p"))
+    post = post.select("site", "p.post.*", F.col("p.community.name").alias("community"), F.coalesce("p.community.title", F.lit("")).alias("about"))
+    kept = post.where("id <> 0 and not coalesce(deleted, false) and not coalesce(removed, false)")
+    about = F.concat(F.lit("c/"), F.coalesce("community", F.lit("")), F.when(F.col("about") == "", "").otherwise(F.concat(F.lit(" - "), F.col("about"))))
+    title, text = clip(F.coalesce("name", F.lit("")), 200), clip(collapse(F.coalesce("body", F.lit(""))), 2000)
+    pages = kept.select("id", F.concat("site", F.lit("/post/"), F.col("id").cast("string")).alias("url"), title.alias("title"), about.alias("description"), text.alias("text"), F.lit("lemmy").alias("source"))
+    return pages.where("title <> '' or text <> ''")
+
+
+def listed_communities(responses: DataFrame, body: str = "body", host: str = "host") -> DataFrame:
+    """(host, id, name, flagged) of landed community lists; entries without an id count for their name only."""
+    one = responses.select(F.col(host).alias("host"), F.explode(F.from_json(body, COMMUNITIES)["communities"]).alias("c")).select("host", "c.community.*")
+    return one.select("host", "id", F.lower("name").alias("name"), (F.coalesce("nsfw", F.lit(False)) & (F.coalesce("name", F.lit("")) != "")).alias("flagged"))
 
 
 def wiki_chunks(titles: DataFrame, order: str, size: int = 20) -> DataFrame:
@@ -106,9 +120,16 @@ def wiki_chunks(titles: DataFrame, order: str, size: int = 20) -> DataFrame:
     return titles.withColumn("chunk", F.floor((F.row_number().over(W.partitionBy("site").orderBy(order)) - 1) / size).cast("int"))
 
 
-def wiki_pages(responses: DataFrame, body: str = "body") -> DataFrame:
-    page = responses.select(F.explode(F.from_json(body, WIKI_EXTRACTS)["query"]["pages"]).alias("p")).select("p.*")
-    return page.select("title", F.substring(F.coalesce("description", F.lit("")), 1, 300).alias("description"), F.substring(F.trim("extract"), 1, 2000).alias("text"), F.lit("mediawiki").alias("source"))
+def wiki_pages(responses: DataFrame, template: Column, body: str = "body") -> DataFrame:
+    """(url, title, description, text, source) of landed introductions; `template` is the wiki's address with $1 for the title. Empty ones are left out."""
+    page = responses.select(template.alias("template"), F.explode(F.from_json(body, WIKI_EXTRACTS)["query"]["pages"]).alias("p")).select("template", "p.*")
+    text = clip(collapse(F.coalesce("extract", F.lit(""))), 2000)
+    pages = page.select(wiki_address(F.col("template"), F.col("title")).alias("url"), clip(F.col("title"), 200).alias("title"), clip(F.coalesce("description", F.lit("")), 300).alias("description"), text.alias("text"), F.lit("mediawiki").alias("source"))
+    return pages.where("text <> ''")
+
+
+def is_site_name(name: Column) -> Column:
+    return F.coalesce(F.lower(name).rlike(SITE_NAME), F.lit(False))
 
 
 def read_site_costs(spark: SparkSession, path: str) -> DataFrame:
