@@ -140,3 +140,10 @@ def test_measured_pages(spark):
     sizes = spark.createDataFrame([("https://h.org/1.png", 7), ("https://h.org/0.png", 0), ("https://h.org/d/b.css", 5)], "url string, bytes bigint")
     found = {r["host"]: (r["assets"], r["bytes_per_visit"]) for r in reports.measure_pages(pages, sizes, 0.085, 1000).collect()}
     assert found["h"] == (2, len(html) + 12) and found["k"][0] == 0
+
+
+def test_dense_ids_over_many_ranges(spark):
+    pages = spark.range(20_000).select(F.sha2(F.col("id").cast("string"), 256).alias("u"), F.repeat(F.lit("text "), 200).alias("text"))
+    found = index.dense_ids(pages.dropDuplicates(["u"]), ["u"], 5)
+    row = found.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
+    assert tuple(row) == (20_000, 20_000, 5, 20_004)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions.text import kept_tokens, page_text, page_title
 from webloom.functions.urls import host_port
+from webloom.session import materialise
 
 #: Weight of a word by field, kept words of a text, largest weight and length, sizes of segment classes.
 TITLE_WEIGHT, DESCRIPTION_WEIGHT, TEXT_WEIGHT = 3, 2, 1
@@ -26,15 +27,8 @@ class Index:
     terms: DataFrame
 
     def write(self, path: str) -> Index:
-        """Lay the tables out for lookups: postings and terms in ranges of the term, sorted, so that row groups are skipped."""
-        self.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        spark = self.docs.sparkSession
-        self.postings.write.mode("overwrite").parquet(f"{path}/unsorted")  # dealing by range reads its input twice
-        postings = spark.read.parquet(f"{path}/unsorted")
-        postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        terms = postings.groupBy("term").agg(F.count("*").alias("df"))
-        terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
-        return Index.read(spark, path)
+        """Lay the tables out for lookups: postings and terms sorted in ranges, so that row groups are skipped. A common term may fill many ranges."""
+        return _lay_out(self.docs, self.postings.repartitionByRange("term", "doc_id"), path)
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Index:
@@ -52,20 +46,50 @@ def _kept(name: str):
     return kept_tokens(F.coalesce(name, F.lit("")))
 
 
-def build_index(pages: DataFrame) -> Index:
-    """From (doc_id, url, title, description, text). Pages without a host are left out; pages without words count as documents.
-
-    Lengths are counted in the row; postings are one aggregation whose partial sums are taken where the pages are read.
-    """
+def tokenised(pages: DataFrame) -> DataFrame:
+    """(doc_id, url, host, title, dl, words) from (doc_id, url, title, description, text): lengths and weighted words, counted in the row."""
     rows = pages.withColumn("host", host_port(F.col("url"))).where("coalesce(host, '') <> ''")
     length = TITLE_WEIGHT * F.size(_kept("title")) + DESCRIPTION_WEIGHT * F.size(_kept("description")) + TEXT_WEIGHT * F.least(F.size(_kept("text")), F.lit(TEXT_WORDS))
-    docs = rows.select("doc_id", "url", "host", "title", F.least(length, F.lit(MOST)).alias("dl"))
     fields = ((_kept("title"), TITLE_WEIGHT), (_kept("description"), DESCRIPTION_WEIGHT), (F.slice(_kept("text"), 1, TEXT_WORDS), TEXT_WEIGHT))
     words = F.concat(*(F.transform(kept, lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w"))) for kept, weight in fields))
-    each = rows.select("doc_id", F.explode(words).alias("word")).select("doc_id", "word.term", "word.w")
-    postings = each.groupBy("term", "doc_id").agg(F.least(F.sum("w"), F.lit(MOST)).cast("int").alias("tf"))
-    terms = postings.groupBy("term").agg(F.count("*").alias("df"))
-    return Index(docs, postings, terms)
+    return rows.select("doc_id", "url", "host", "title", F.least(length, F.lit(MOST)).alias("dl"), words.alias("words"))
+
+
+def _word_rows(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", F.explode("words").alias("word")).select("doc_id", "word.term", "word.w")
+
+
+def _summed(each: DataFrame) -> DataFrame:
+    return each.groupBy("term", "doc_id").agg(F.least(F.sum("w"), F.lit(MOST)).cast("int").alias("tf"))
+
+
+def build_index(pages: DataFrame) -> Index:
+    """From (doc_id, url, title, description, text). Pages without a host are left out; pages without words count as documents.
+
+    Postings are one aggregation whose partial sums are taken where the pages are read.
+    """
+    rows = tokenised(pages)
+    postings = _summed(_word_rows(rows))
+    return Index(rows.drop("words"), postings, postings.groupBy("term").agg(F.count("*").alias("df")))
+
+
+def store_index(pages: DataFrame, path: str) -> Index:
+    """build_index, written for lookups. Texts are read once: their words are staged, then dealt out by range, and the same deal serves
+    the sums and the order in the files."""
+    spark = pages.sparkSession
+    tokenised(pages).write.mode("overwrite").parquet(f"{path}/staged")
+    rows = spark.read.parquet(f"{path}/staged")
+    return _lay_out(rows.drop("words"), _summed(_word_rows(rows).repartitionByRange("term", "doc_id")), path)
+
+
+def _lay_out(docs: DataFrame, postings: DataFrame, path: str) -> Index:
+    """`postings` come dealt by range of (term, doc_id)."""
+    spark = docs.sparkSession
+    docs.write.mode("overwrite").parquet(f"{path}/docs")
+    postings.select("term", "doc_id", "tf").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+    terms = spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df"))
+    terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    return Index.read(spark, path)
 
 
 def corpus_stats(index: Index) -> DataFrame:
@@ -90,8 +114,12 @@ def packed_lists(index: Index) -> DataFrame:
 
 
 def dense_ids(pages: DataFrame, order: list[str], offset: int = 0) -> DataFrame:
-    """doc_id = offset, offset + 1, ... in `order`: ranges of the order, counted, then numbered inside each."""
-    dealt = pages.repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
+    """doc_id = offset, offset + 1, ... in `order`: ranges of the order, counted, then numbered inside each.
+
+    The dealt rows are written with the number of their range. Counting and numbering both read that: dealt twice, rows could
+    come to lie in other ranges the second time.
+    """
+    dealt = materialise(pages.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
     sizes = dealt.groupBy("__range").agg(F.count("*").alias("__n"))
     before = sizes.select("__range", F.coalesce(F.sum("__n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     inside = F.row_number().over(W.partitionBy("__range").orderBy(*order))

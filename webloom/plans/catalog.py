@@ -47,7 +47,7 @@ def _index(spark: SparkSession, sf_dir: str) -> index.Index:
 
 def _stored_index(spark: SparkSession, sf_dir: str) -> index.Index:
     """The index written once, for searches, which look several things up in it."""
-    return _index(spark, sf_dir).write(scratch_path(spark, "index"))
+    return index.store_index(_pages(spark, sf_dir), scratch_path(spark, "index"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def commit_batch(pages: DataFrame, batch_id: int, path: str, order: list[str]) -> None:
     """One segment from one micro-batch: pages not seen before, with ids that follow the earlier batches'.
 
-    Everything lands in folders of the batch; a replayed batch looks only at the batches before it and overwrites its
+    Texts are read once, for their words. Everything lands in folders of the batch; a replayed batch looks only at the batches before it and overwrites its
     own folders, so it gives the same ids and no page twice. The manifest entry, written last, makes it visible.
     """
     spark = pages.sparkSession
