@@ -46,17 +46,23 @@ def _kept(name: str):
     return kept_tokens(F.coalesce(name, F.lit("")))
 
 
+def _with_host(pages: DataFrame) -> DataFrame:
+    return pages.withColumn("host", host_port(F.col("url"))).where("coalesce(host, '') <> ''")
+
+
+def _weighted_words():
+    fields = ((_kept("title"), TITLE_WEIGHT), (_kept("description"), DESCRIPTION_WEIGHT), (F.slice(_kept("text"), 1, TEXT_WORDS), TEXT_WEIGHT))
+    return F.concat(*(F.transform(kept, lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w"))) for kept, weight in fields))
+
+
 def tokenised(pages: DataFrame) -> DataFrame:
     """(doc_id, url, host, title, dl, words) from (doc_id, url, title, description, text): lengths and weighted words, counted in the row."""
-    rows = pages.withColumn("host", host_port(F.col("url"))).where("coalesce(host, '') <> ''")
     length = TITLE_WEIGHT * F.size(_kept("title")) + DESCRIPTION_WEIGHT * F.size(_kept("description")) + TEXT_WEIGHT * F.least(F.size(_kept("text")), F.lit(TEXT_WORDS))
-    fields = ((_kept("title"), TITLE_WEIGHT), (_kept("description"), DESCRIPTION_WEIGHT), (F.slice(_kept("text"), 1, TEXT_WORDS), TEXT_WEIGHT))
-    words = F.concat(*(F.transform(kept, lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w"))) for kept, weight in fields))
-    return rows.select("doc_id", "url", "host", "title", F.least(length, F.lit(MOST)).alias("dl"), words.alias("words"))
+    return _with_host(pages).select("doc_id", "url", "host", "title", F.least(length, F.lit(MOST)).alias("dl"), _weighted_words().alias("words"))
 
 
-def _word_rows(rows: DataFrame) -> DataFrame:
-    return rows.select("doc_id", F.explode("words").alias("word")).select("doc_id", "word.term", "word.w")
+def _word_rows(rows: DataFrame, words) -> DataFrame:
+    return rows.select("doc_id", F.explode(words).alias("word")).select("doc_id", "word.term", "word.w")
 
 
 def _summed(each: DataFrame) -> DataFrame:
@@ -68,9 +74,8 @@ def build_index(pages: DataFrame) -> Index:
 
     Postings are one aggregation whose partial sums are taken where the pages are read.
     """
-    rows = tokenised(pages)
-    postings = _summed(_word_rows(rows))
-    return Index(rows.drop("words"), postings, postings.groupBy("term").agg(F.count("*").alias("df")))
+    postings = _summed(_word_rows(_with_host(pages), _weighted_words()))
+    return Index(tokenised(pages).drop("words"), postings, postings.groupBy("term").agg(F.count("*").alias("df")))
 
 
 def store_index(pages: DataFrame, path: str) -> Index:
@@ -79,7 +84,7 @@ def store_index(pages: DataFrame, path: str) -> Index:
     spark = pages.sparkSession
     tokenised(pages).write.mode("overwrite").parquet(f"{path}/staged")
     rows = spark.read.parquet(f"{path}/staged")
-    return _lay_out(rows.drop("words"), _summed(_word_rows(rows).repartitionByRange("term", "doc_id")), path)
+    return _lay_out(rows.drop("words"), _summed(_word_rows(rows, "words").repartitionByRange("term", "doc_id")), path)
 
 
 def _lay_out(docs: DataFrame, postings: DataFrame, path: str) -> Index:
