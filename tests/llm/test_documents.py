@@ -172,6 +172,52 @@ def test_one_of_each_stays(spark):
     assert kept.columns == ["doc_id", "text", "a"] and sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 7]
 
 
+def components_of_all_pairs(texts):
+    """The smallest index in the component of each text, from all pairs' plain Jaccard similarities."""
+    words = [t.lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in combinations(range(len(texts)), 2):
+        shared = len(sets[i] & sets[j])
+        if 5 * shared >= 4 * (len(sets[i]) + len(sets[j]) - shared):
+            root[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(texts))]
+
+
+def kept_of(spark, texts):
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    return sorted(r["doc_id"] for r in simhash.keep_one_of_each(table).collect())
+
+
+def some_words(rng, many):
+    return [f"w{x}" for x in rng.integers(0, 5000, many)]
+
+
+def test_hubs_of_near_copies_against_all_pairs(spark):
+    rng, texts = np.random.default_rng(11), []
+    for source in (some_words(rng, 240), some_words(rng, 320)):
+        for _ in range(200):
+            copy = list(source)
+            for at in rng.choice(len(copy), len(copy) // 50, replace=False):
+                copy[at] = f"new{rng.integers(10**9)}"
+            texts.append(" ".join(copy))
+        texts.append(" ".join(source))
+    # A chain, and copies of a source that is not there.
+    chain = some_words(rng, 400)
+    texts += [" ".join(chain[i : i + 200]) for i in range(0, 200, 20)]
+    lost = some_words(rng, 200)
+    texts += [" ".join(lost[: 20 * i] + some_words(rng, 12) + lost[20 * i + 12 :]) for i in range(8)]
+    roots = components_of_all_pairs(texts)
+    assert len(set(roots)) < len(texts) / 2
+    assert kept_of(spark, texts) == sorted(set(roots))
+
+
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 

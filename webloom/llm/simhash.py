@@ -156,20 +156,30 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, key: str =
     return prints.join(named, "fp").select(F.col("doc_id").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Fingerprints of a text for similarity search, and bits of each.
-BANDS, BAND_BITS = 10, 36
+#: Shingles found in COMMON_LEAST texts of a sample of 1 / COMMON_SAMPLE, and in 1 / COMMON_SHARE of it, count as common.
+COMMON_SAMPLE, COMMON_LEAST, COMMON_SHARE = 16, 3, 5000
 
 
-def word_set_bands(text: str | None) -> np.ndarray:
-    """BANDS independent SimHash fingerprints of BAND_BITS bits of the text's set of words."""
-    found = set((text or "").encode().lower().split())
-    hashed = xxhash.xxh3_128_digest
-    raw = b"".join([hashed(w, SEED) + hashed(w, SEED + 1) + hashed(w, SEED + 2) for w in found])
-    ones = np.zeros(384, dtype=np.int64)
-    for at in range(0, len(raw), 48 << 13):
-        ones += np.unpackbits(np.frombuffer(raw[at : at + (48 << 13)], dtype=np.uint8).reshape(-1, 48), axis=1).sum(axis=0, dtype=np.int64)
-    bits = (2 * ones > len(found))[: BANDS * BAND_BITS].reshape(BANDS, BAND_BITS)
-    return bits @ (1 << np.arange(BAND_BITS, dtype=np.int64))
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The different shingle hashes, ascending."""
+    return np.unique(shingle_hashes(text, words))
+
+
+def prefix_tokens(shingles: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles in one order for all texts, so many that two sets of that Jaccard similarity share one of them.
+
+    Such sets share at least similarity * n of either's n shingles, so one is among the first n - ceil(similarity * n) + 1
+    of both, whatever the order. Common shingles (ascending, with their counts) come last, so few texts meet by them.
+    A text without words has the token 0.
+    """
+    if not len(shingles):
+        return np.zeros(1, dtype=np.uint64)
+    count = np.zeros(len(shingles), dtype=np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        count = np.where(common[at] == shingles, counts[at], 0)
+    first = len(shingles) - int(np.ceil(similarity * len(shingles) - 1e-9)) + 1
+    return shingles[np.lexsort((shingles, count))[:first]]
 
 
 def text_digest(text):
@@ -183,42 +193,100 @@ def jaccard(a: str | None, b: str | None, words: int) -> float:
     return len(one & two) / len(one | two) if one or two else 1.0
 
 
+#: Cells in which a text's shingles are counted, and the count from which a cell only says "many".
+CELLS, MANY = 256, 255
+
+
+def cell_counts(shingles: np.ndarray) -> bytes:
+    """How many shingles fall into each cell."""
+    return np.minimum(np.bincount((shingles % np.uint64(CELLS)).astype(np.int64), minlength=CELLS), MANY).astype(np.uint8).tobytes()
+
+
+def may_be_similar(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of these cell counts (a row each) and sizes can have that Jaccard similarity: they share no more than the cells allow."""
+    shared = np.minimum(a, b).sum(axis=1, dtype=np.int64)
+    return ((a == MANY) & (b == MANY)).any(axis=1) | ((1 + similarity) * shared >= similarity * (n_a + n_b) - 1e-6)
+
+
+def common_shingles(bare: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Common shingles of `bare` (digest, text), ascending, and their counts in the sample. Only the order of tokens, and so the work, depends on them."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t.as_py(), words) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, dtype=np.uint64), *found]).view(np.int64))], names=["token"])
+
+    sample = bare.where(F.pmod(F.xxhash64("digest"), F.lit(COMMON_SAMPLE)) == 0)
+    least = max(COMMON_LEAST, -(-sample.count() // COMMON_SHARE))
+    # COMMON_SHARE times a text's shingles at most.
+    found = sample.select("text").mapInArrow(make, "token BIGINT").groupBy("token").count().where(F.col("count") >= least).toArrow()
+    tokens, counts = found.column("token").to_numpy().view(np.uint64), found.column("count").to_numpy()
+    order = np.argsort(tokens)
+    return tokens[order], counts[order]
+
+
 def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
     """(a, b, similarity) between digests of different texts whose `words`-word shingle sets have that Jaccard similarity or more.
 
-    A changed word changes `words` shingles but one word, so candidates come from fingerprints of word sets, where such
-    texts differ in few bits: BANDS short fingerprints each, linked within 2 bits by ball hashing. Texts with one
-    fingerprint are compared with the first of them, and the first ones of linked fingerprints with each other, so a
-    group of copies costs as many comparisons as it has texts. Every candidate is verified on whole texts.
+    Every two such texts are in one component of these links. They meet by a token of their prefixes. Each token's texts
+    are compared with that one of them that meets most others, as the source of many copies does; then all that meet and
+    are not in one component yet are compared with each other. Candidates whose cell counts leave the similarity possible
+    are verified on whole texts.
     """
     bare = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).select(text_digest("text").alias("digest"), "text")
+    common = bare.sparkSession.sparkContext.broadcast(common_shingles(bare, words))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bands = [word_set_bands(t.as_py()).tolist() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(bands, pa.list_(pa.int64()))], names=["digest", "bands"])
-
-    printed = materialise(bare.mapInArrow(make, "digest BINARY, bands ARRAY<BIGINT>").distinct(), "bands")
-    prints = printed.select("digest", F.posexplode("bands").alias("band", "fp"))
-    first = materialise(prints.groupBy("band", "fp").agg(F.min("digest").alias("first")), "first")
-    inside = prints.join(first, ["band", "fp"]).where("digest <> first").select(F.col("first").alias("a"), F.col("digest").alias("b"))
-    met = ball_pairs(first, "band", BAND_BITS)
-    one, two = (first.select("band", F.col("fp").alias(x), F.col("first").alias(f"first_{x}")) for x in "ab")
-    across = met.join(one, ["band", "a"]).join(two, ["band", "b"]).where("first_a <> first_b")
-    across = across.select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"))
-    pairs = materialise(inside.unionByName(across).distinct(), "pairs")
-
-    asked = pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct()
-    texts = materialise(bare.join(asked, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text")), "texts")
+            sets = [shingle_set(t.as_py(), words) for t in batch.column("text")]
+            tokens = [prefix_tokens(s, similarity, *common.value).view(np.int64) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(map(len, sets), pa.int32()), pa.array(tokens, pa.list_(pa.int64())), pa.array(map(cell_counts, sets), pa.binary())], names=["digest", "n", "tokens", "cells"])
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(f"cells_{x}").to_pylist()), dtype=np.uint8).reshape(-1, CELLS) for x in "ab")
+            n_a, n_b = (batch.column(f"n_{x}").to_numpy().astype(np.int64) for x in "ab")
+            yield batch.select(["a", "b"]).filter(pa.array(may_be_similar(a, b, n_a, n_b, similarity), pa.bool_()))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [jaccard(x.as_py(), y.as_py(), words) for x, y in zip(batch.column("text_a"), batch.column("text_b"))]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], names=["a", "b", "similarity"])
 
-    left = pairs.join(texts.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a BINARY, b BINARY, similarity DOUBLE").where(F.col("similarity") >= similarity)
+    def verified(pairs: DataFrame) -> DataFrame:
+        one, two = (printed.select(F.col("digest").alias(x), F.col("n").alias(f"n_{x}"), F.col("cells").alias(f"cells_{x}")) for x in "ab")
+        pairs = materialise(pairs.join(one, "a").join(two, "b").mapInArrow(sift, "a BINARY, b BINARY"), "sifted")
+        asked = pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct()
+        texts = materialise(bare.join(asked, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text")), "texts")
+        left = pairs.join(texts.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a")
+        both = left.join(texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b")
+        return both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a BINARY, b BINARY, similarity DOUBLE").where(F.col("similarity") >= similarity)
+
+    def candidates(met: DataFrame) -> DataFrame:
+        """Pairs from columns x, y (structs n, digest): of sizes that allow the similarity."""
+        fit = F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9
+        return met.where(fit).select(F.least("x.digest", "y.digest").alias("a"), F.greatest("x.digest", "y.digest").alias("b")).distinct()
+
+    printed = materialise(bare.mapInArrow(make, "digest BINARY, n INT, tokens ARRAY<BIGINT>, cells BINARY").dropDuplicates(["digest"]), "prefixes")
+    spread = printed.select("digest", "n", F.explode("tokens").alias("token"))
+    met = materialise(spread.withColumn("texts", F.count("*").over(W.partitionBy("token"))).where("texts > 1"), "met")
+
+    weighed = met.join(met.groupBy("digest").agg(F.sum("texts").alias("weight")), "digest")
+    hubs = weighed.groupBy("token").agg(F.max(F.struct("weight", "n", "digest")).alias("y"))
+    stars = met.join(hubs, "token").where("digest <> y.digest").select(F.struct("n", "digest").alias("x"), "y")
+    tried = materialise(candidates(stars), "stars")
+    links = materialise(verified(tried), "star_links")
+
+    roots = components(links)
+    placed = met.join(roots.select(F.col("node").alias("digest"), "root"), "digest", "left").select("token", "n", "digest", F.coalesce("root", "digest").alias("root"))
+    placed = materialise(placed, "placed")
+    # Of two components, one is not the token's largest.
+    largest = placed.groupBy("token", "root").count().groupBy("token").agg(F.max(F.struct("count", "root")).alias("largest"), F.count("*").alias("roots")).where("roots > 1")
+    within = placed.join(largest, "token").select("token", "root", "largest", F.struct("n", "digest").alias("text"))
+    other = within.where("root <> largest.root").select("token", F.col("root").alias("root_x"), F.col("text").alias("x"))
+    across = other.join(within.select("token", F.col("root").alias("root_y"), F.col("text").alias("y")), "token").where("root_x <> root_y")
+    left = materialise(candidates(across).join(tried, ["a", "b"], "left_anti"), "across")
+    return links.unionByName(verified(left))
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
