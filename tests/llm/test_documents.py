@@ -218,6 +218,21 @@ def test_hubs_of_near_copies_against_all_pairs(spark):
     assert kept_of(spark, texts) == sorted(set(roots))
 
 
+def test_block_edits_against_all_pairs(spark):
+    rng, texts = np.random.default_rng(12), []
+    for n in range(150):
+        base = some_words(rng, int(rng.integers(100, 400)))
+        cut = base[: int(len(base) * (0.79 + 0.02 * (n % 8)))]
+        longer = base + some_words(rng, len(base) // (4 + n % 3))
+        mixed = list(base)
+        rng.shuffle(mixed)
+        texts += [" ".join(w) for w in (base, cut if n % 2 else longer, mixed)]
+    texts += ["one two", "one  two", "one two three", "", " \t"]
+    roots = components_of_all_pairs(texts)
+    assert 150 <= len(set(roots)) < len(texts) - 100
+    assert kept_of(spark, texts) == sorted(set(roots))
+
+
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
