@@ -4,12 +4,14 @@ Encoding has four steps. (1) Tasks split their texts into pre-tokens ("words") a
 texts as positions of words in the block's own word list, and the list itself, dealt into buckets by a hash of the word.
 (2) Word lists are shuffled by bucket, so all blocks' copies of a word meet in one task, which encodes each distinct word
 once. A word comes once from a block, however often it is used: the most frequent word costs a row for each block, not
-one for each use. (3) Ids go back to the words' blocks; the block table is bucketed by block, so the join moves ids only,
+one for each use. (3) Ids go back to the words' blocks; the block table is bucketed by groups of blocks, so the join moves ids only,
 not the texts' words. (4) Each block is reassembled by position. Decoding joins each id
 with its bytes in the table of tokens by array index.
 
-Words travel sorted and packed, many in a row. A block holds BLOCK bytes of text (one text at least), a bucket about
-BUCKET words; their number follows the input, so no task's memory does.
+Words travel sorted and packed, many in a row. A block holds BLOCK bytes of text (one text at least); GROUP blocks share a
+group number, by which the block table is bucketed, so a task writes a file for a group and not for a block. There are as
+many buckets of words as a shuffle has partitions, and a task remembers KNOWN words at most before it starts anew, so no
+task's memory follows the input.
 
 Ids are in BINARY cells as little-endian unsigned 32-bit numbers.
 
@@ -20,6 +22,7 @@ ordinary text. Empty table: no rows. Other columns are ignored. Decoding null id
 from __future__ import annotations
 
 import base64
+import ctypes
 import functools
 import zlib
 from collections.abc import Iterator
@@ -34,8 +37,8 @@ from pyspark.sql import functions as F
 from webloom.llm.subword import Ragged, cut, slices
 from webloom.session import materialise_buckets
 
-BLOCK = 12 << 20
-BUCKET = 200_000
+BLOCK, GROUP = 4 << 20, 16
+KNOWN = 200_000
 #: White space as the pattern's own library understands it (Unicode's White_Space).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = "array<struct<bucket:int,words:binary,lengths:binary,codes:binary>>"
@@ -136,14 +139,17 @@ def _bucketed(words: list[bytes], buckets: int) -> list[dict]:
     return out
 
 
-def _sum_bytes(docs: DataFrame, text: str) -> int:
-    return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+def _release() -> None:
+    """Hand freed memory back: a worker stays alive between stages, beside the next stage's workers."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def encode_texts(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids) for every row."""
     bare = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    buckets = max(8, _sum_bytes(bare, "text") // (64 * BUCKET))
+    buckets = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled, block = word_pattern(pattern), TaskContext.get().partitionId() << 32
@@ -152,18 +158,21 @@ def encode_texts(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id",
                 stream, begins, words = split_words(part.column("text"), compiled)
                 names = pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64()))
                 pieces = pa.array([_bucketed(words, buckets)], pa.list_(pa.struct([("bucket", pa.int32()), ("words", pa.binary()), ("lengths", pa.binary()), ("codes", pa.binary())])))
-                cells = [pa.array([block], pa.int64()), names, pa.array([_planes(np.diff(begins))], pa.binary()), pa.array([_planes(stream)], pa.binary()), pa.array([len(words)], pa.int64()), pieces]
-                yield pa.RecordBatch.from_arrays(cells, names=["block", "doc_ids", "sizes", "stream", "n_words", "pieces"])
+                cells = [pa.array([block // GROUP], pa.int64()), pa.array([block], pa.int64()), names, pa.array([_planes(np.diff(begins))], pa.binary()), pa.array([_planes(stream)], pa.binary()), pa.array([len(words)], pa.int64()), pieces]
+                del stream, begins, words
+                yield pa.RecordBatch.from_arrays(cells, names=["grp", "block", "doc_ids", "sizes", "stream", "n_words", "pieces"])
+                del names, pieces, cells
+                _release()
                 block += 1
 
-    made = bare.mapInArrow(split, f"block BIGINT, doc_ids ARRAY<BIGINT>, sizes BINARY, stream BINARY, n_words BIGINT, pieces {PIECES}")
-    blocks = materialise_buckets(made, "blocks", "block")
+    made = bare.mapInArrow(split, f"grp BIGINT, block BIGINT, doc_ids ARRAY<BIGINT>, sizes BINARY, stream BINARY, n_words BIGINT, pieces {PIECES}")
+    blocks = materialise_buckets(made, "blocks", "grp")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_word, known, current = byte_vocabulary(ranks).encode_word, {}, None
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["bucket"] != current:
+            for row in (r for at in range(batch.num_rows) for r in batch.slice(at, 1).to_pylist()):
+                if row["bucket"] != current or len(known) > KNOWN:
                     current, known = row["bucket"], {}
                 raw, ends = zlib.decompress(row["words"]), np.cumsum(_numbers(row["lengths"]).astype(np.int64)).tolist()
                 ids, at = [], 0
@@ -173,18 +182,20 @@ def encode_texts(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id",
                     if found is None:
                         found = known[word] = encode_word(word)
                     ids.append(found)
-                made = {"block": [row["block"]], "codes": [row["codes"]], "sizes": [_planes(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))], "ids": [_planes(np.array([i for x in ids for i in x], dtype=np.int64))]}
-                yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64() if k == "block" else pa.binary()) for k, v in made.items()})
+                made = {"grp": [row["grp"]], "block": [row["block"]], "codes": [row["codes"]], "sizes": [_planes(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))], "ids": [_planes(np.array([i for x in ids for i in x], dtype=np.int64))]}
+                yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.binary() if isinstance(v[0], bytes) else pa.int64()) for k, v in made.items()})
+        known.clear()
+        _release()
 
-    lists = blocks.select("block", F.explode("pieces").alias("piece")).select("block", "piece.*")
+    lists = blocks.select("grp", "block", F.explode("pieces").alias("piece")).select("grp", "block", "piece.*")
     dealt = lists.repartition("bucket").sortWithinPartitions("bucket")
-    encoded = dealt.mapInArrow(encode, "block BIGINT, codes BINARY, sizes BINARY, ids BINARY")
-    # At most `buckets` cells of one block, together one block's distinct words.
-    back = encoded.groupBy("block").agg(F.collect_list(F.struct("codes", "sizes", "ids")).alias("lists"))
+    encoded = dealt.mapInArrow(encode, "grp BIGINT, block BIGINT, codes BINARY, sizes BINARY, ids BINARY")
+    # At most `buckets` cells of one block and GROUP blocks, together the distinct words of each.
+    back = encoded.groupBy("grp").agg(F.collect_list(F.struct("block", "codes", "sizes", "ids")).alias("found"))
 
     def reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (r for at in range(batch.num_rows) for r in batch.slice(at, 1).to_pylist()):
                 start, length = np.zeros(row["n_words"], dtype=np.int64), np.zeros(row["n_words"], dtype=np.int64)
                 pools, base = [np.empty(0, dtype=np.uint32)], 0
                 for cell in row["lists"] or []:
@@ -200,8 +211,11 @@ def encode_texts(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id",
                     raw, bounds = ids.astype("<u4").tobytes(), begins[own - own[0]].tolist()
                     cells = [raw[4 * a : 4 * b] for a, b in zip(bounds, bounds[1:])]
                     yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"][at : at + 256], pa.int64()), pa.array(cells, pa.binary())], names=["doc_id", "ids"])
+                del row, known, stream, edges, pools, start, length
+                _release()
 
-    whole = blocks.select("block", "doc_ids", "sizes", "stream", "n_words").join(back, "block", "left")
+    whole = blocks.select("grp", "block", "doc_ids", "sizes", "stream", "n_words").join(back, "grp", "left")
+    whole = whole.withColumn("lists", F.filter("found", lambda f: f["block"] == F.col("block")))
     return whole.select("doc_ids", "sizes", "stream", "n_words", "lists").mapInArrow(reassemble, "doc_id BIGINT, ids BINARY").withColumnRenamed("doc_id", key)
 
 
