@@ -52,6 +52,15 @@ def test_byte_bpe(docs, none):
     assert byte_bpe.encode_texts(none, BYTE, public_tokenizers.PATTERN).count() == 0
 
 
+def test_byte_bpe_of_many_blocks(spark, docs, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "BLOCK", 500)
+    monkeypatch.setattr(byte_bpe, "GROUP", 3)
+    many = docs.unionByName(spark.range(400).select((F.col("id") + 100).alias("doc_id"), F.concat(F.lit("row "), F.repeat(F.concat("id", F.lit(" é\n")), 20)).alias("text")), allowMissingColumns=True).coalesce(2)
+    rows = many.select("doc_id", "text").collect()
+    found = byte_bpe.encode_texts(many, BYTE, public_tokenizers.PATTERN, decoded=True).collect()
+    assert sorted(((r["doc_id"], np.frombuffer(r["ids"], "<u4").tolist(), bytes(r["decoded"])) for r in found), key=repr) == sorted(((r["doc_id"], BYTES.encode_ordinary(r["text"] or ""), (r["text"] or "").encode()) for r in rows), key=repr)
+
+
 def test_decoding_odd_ids(spark):
     rows = spark.createDataFrame([(None,), (b"",)], "ids binary")
     assert [r["decoded"] for r in byte_bpe.decode_ids(rows, BYTE).collect()] == [None, b""]

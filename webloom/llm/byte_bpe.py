@@ -146,8 +146,8 @@ def _release() -> None:
         trim(0)
 
 
-def encode_texts(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids) for every row."""
+def encode_texts(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
+    """(key, ids) for every row; with `decoded` also the bytes that the ids decode to, by decode_ids in the same Python worker."""
     bare = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     buckets = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
@@ -216,18 +216,20 @@ def encode_texts(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id",
 
     whole = blocks.select("grp", "block", "doc_ids", "sizes", "stream", "n_words").join(back, "grp", "left")
     whole = whole.withColumn("lists", F.filter("found", lambda f: f["block"] == F.col("block")))
-    return whole.select("doc_ids", "sizes", "stream", "n_words", "lists").mapInArrow(reassemble, "doc_id BIGINT, ids BINARY").withColumnRenamed("doc_id", key)
+    made, more = (lambda batches: _decoding(ranks, "ids", reassemble(batches)), ", decoded BINARY") if decoded else (reassemble, "")
+    return whole.select("doc_ids", "sizes", "stream", "n_words", "lists").mapInArrow(made, f"doc_id BIGINT, ids BINARY{more}").withColumnRenamed("doc_id", key)
+
+
+def _decoding(ranks: str, ids: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each batch with one more column, the bytes that its cells of ids stand for."""
+    vocabulary = byte_vocabulary(ranks)
+    for batch in batches:
+        made = [None if cell is None else vocabulary.decode(np.frombuffer(cell, "<u4")) for cell in batch.column(ids).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=[*batch.schema.names, "decoded"])
 
 
 def decode_ids(rows: DataFrame, ranks: str, ids: str = "ids") -> DataFrame:
     """The columns of `rows`, and the bytes that each cell of ids stands for."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "decoded")
     kept = [c for c in rows.columns if c != "decoded"]
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = byte_vocabulary(ranks)
-        for batch in batches:
-            made = [None if cell is None else vocabulary.decode(np.frombuffer(cell, "<u4")) for cell in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=[*kept, "decoded"])
-
-    return rows.select(*kept).mapInArrow(decode, f"{schema}, decoded BINARY")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "decoded")
+    return rows.select(*kept).mapInArrow(lambda batches: _decoding(ranks, ids, batches), f"{schema}, decoded BINARY")

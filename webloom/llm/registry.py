@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from webloom.llm.byte_bpe import decode_ids, encode_texts
+from webloom.llm.byte_bpe import encode_texts
 from webloom.llm.id_files import read_ids, write_ids
 from webloom.llm import secrets
 from webloom.llm.media import image_features, text_images
@@ -30,8 +30,7 @@ def op1_quality_classifier(spark, sf_dir):
 
 def op2_byte_bpe(spark, sf_dir):
     ranks = public_tokenizers.path(BYTE_BPE)
-    encoded = encode_texts(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    decoded = decode_ids(encoded, ranks)
+    decoded = encode_texts(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, decoded=True)
     n_tokens = (F.octet_length("ids") / 4).cast("bigint")
     return decoded.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
