@@ -10,7 +10,7 @@ with its bytes in the table of tokens by array index.
 
 Words travel sorted and packed, many in a row. A block holds BLOCK bytes of text (one text at least); GROUP blocks share a
 group number, by which the block table is bucketed, so a task writes a file for a group and not for a block. There are as
-many buckets of words as a shuffle has partitions, and a task remembers KNOWN words at most before it starts anew, so no
+many buckets of words as a quarter of a shuffle's partitions, and a task remembers KNOWN words at most before it starts anew, so no
 task's memory follows the input.
 
 Ids are in BINARY cells as little-endian unsigned 32-bit numbers.
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from webloom.llm.subword import Ragged, cut, slices
 from webloom.session import materialise_buckets
 
-BLOCK, GROUP = 4 << 20, 16
+BLOCK, GROUP = 12 << 20, 8
 KNOWN = 200_000
 #: White space as the pattern's own library understands it (Unicode's White_Space).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -149,7 +149,7 @@ def _release() -> None:
 def encode_texts(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
     """(key, ids) for every row; with `decoded` also the bytes that the ids decode to, by decode_ids in the same Python worker."""
     bare = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    buckets = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled, block = word_pattern(pattern), TaskContext.get().partitionId() << 32
