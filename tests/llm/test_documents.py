@@ -148,13 +148,15 @@ def test_near_duplicates(docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
-@settings(max_examples=15, deadline=None)
-@given(st.lists(st.lists(st.integers(0, 35), max_size=2), min_size=2, max_size=12), st.integers(0, 2**36 - 1))
-def test_balls_meet_all_within_two_bits(spark, turns, base):
-    points = sorted({base ^ sum(1 << b for b in set(t)) for t in turns})
-    near = {(a, b) for a, b in combinations(points, 2) if (a ^ b).bit_count() <= 2}
-    table = spark.createDataFrame([(1, p) for p in points], "band int, fp bigint")
-    assert {(r["a"], r["b"]) for r in simhash.ball_pairs(table, "band", 36).collect()} == near
+@pytest.mark.parametrize("radius", [1, 2, 3])
+def test_balls_join_all_within_the_radius(spark, radius):
+    rng = np.random.default_rng(radius)
+    points = {int(base) ^ sum(1 << int(b) for b in rng.choice(24, rng.integers(0, 5), replace=False)) for base in rng.integers(0, 1 << 24, 12) for _ in range(6)} | {0, 0x1C00}
+    table = spark.createDataFrame([(p,) for p in points], "fp bigint")
+    links = simhash.ball_links(table, radius, bits=24)
+    assert all(r["distance"] == (r["a"] ^ r["b"]).bit_count() <= radius for r in links.collect())
+    plain = spark.createDataFrame([(a, b) for a, b in combinations(sorted(points), 2) if (a ^ b).bit_count() <= radius], "a bigint, b bigint")
+    assert sorted(map(tuple, simhash.components(links).collect())) == sorted(map(tuple, simhash.components(plain).collect()))
 
 
 def test_components(spark):

@@ -25,3 +25,24 @@ def test_stages_take_effect(spark):
 def test_run(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0
     assert secrets.KINDS[:3] == ("assign", "access", "hex")
+
+
+def test_stages_take_odd_tables(spark):
+    """Nulls, empty and repeated texts and rows, clashing names, no n_chars, no rows."""
+    from conftest_texts import IDS, TEXTS
+
+    schema = "doc_id bigint, text string, score double, `row` string, name string, spans string, digest string, root string, nth int, place int, lang string"
+    rows = [(i, t, 0.5, "r", "n", "s", "d", "o", 7, 8, None) for i, t in zip(IDS, TEXTS)] + [(None, None, None, None, None, None, None, None, None, None, None)] * 2
+    docs = spark.createDataFrame(rows, schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, DATA)
+        assert found.columns == docs.columns
+        for r in found.collect():
+            assert (r["score"], r["row"], r["nth"]) in ((0.5, "r", 7), (None, None, None))
+        assert stage(spark, docs.limit(0), DATA).count() == 0
+    unique = corpus_pipeline.STAGES[1][1](spark, docs, DATA)
+    # The five texts without words are one group (smallest id 2), the four cats another.
+    assert sorted((r["doc_id"] for r in unique.collect())) == [1, 2, 5, 6, 7, 8]
+    assert corpus_pipeline.STAGES[2][1](spark, docs, DATA).count() == len(rows)
+    packed = corpus_pipeline.STAGES[3][1](spark, docs, DATA)
+    assert packed.select("doc_id").distinct().count() == len(set(IDS)) and corpus_pipeline.STAGES[3][1](spark, docs.limit(0), DATA).count() == 0

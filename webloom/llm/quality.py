@@ -151,6 +151,12 @@ def score_quality(docs: DataFrame, model: QualityModel, key: str = "doc_id", tex
     return rows.mapInArrow(score, schema).select("kept.*", "score")
 
 
+def keep_accepted(docs: DataFrame, model: QualityModel, least: float, text: str = "text") -> DataFrame:
+    """The rows whose text scores `least` or more, with all their columns as they are, whatever their names."""
+    nested = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
+    return score_quality(nested, model, key="row").where(F.col("score") >= least).select("row.*")
+
+
 def in_learning_part(key: Column) -> Column:
     """Rows to learn from; the others are held out."""
     return F.pmod(F.crc32(key.cast("string")), F.lit(5)) != 0

@@ -165,3 +165,14 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
         return F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text) - acc["at"]))
 
     return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, finish))
+
+
+def redact_secrets(docs: DataFrame, weights: list[float], text: str = "text", length: str = "n_chars", mark: str = "[SECRET]") -> DataFrame:
+    """All rows with every secret of the text replaced by `mark`, and with the column `length`, if there is one, counted anew where
+    the text changed. Null texts stay null; other columns return as they are, whatever their names."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    found = docs.select(F.struct("*").alias("row"), all_spans(whole, weights).alias("spans"))
+    changed = F.size("spans") > 0
+    clean = found.select("row", changed.alias("changed"), F.when(changed, redacted(F.col("row")[text], F.col("spans"), mark)).otherwise(F.col("row")[text]).alias("clean"))
+    new = {text: F.col("clean"), length: F.when(F.col("changed"), F.length("clean").cast("bigint")).otherwise(F.col("row")[length]) if length in docs.columns else None}
+    return clean.select(*(new.get(c, F.col("row")[c]).alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns))

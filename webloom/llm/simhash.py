@@ -74,54 +74,32 @@ def masks(radius: int, bits: int = BITS) -> list[int]:
     return [m - (1 << 64) if m >= 1 << 63 else m for m in found]
 
 
+#: Variants that one task of the explosion makes.
+VARIANTS_A_TASK = 1 << 20
+
+
 def ball_links(prints: DataFrame, radius: int, bits: int = BITS) -> DataFrame:
-    """(a, b, distance), a < b: links between distinct fingerprints within `radius` bits, each to its buckets' smallest.
+    """(a, b, distance), a < b: links between distinct fingerprints (column fp of a written table) within `radius` bits.
 
-    Every two fingerprints within the radius are in one component of these links.
+    Every two fingerprints within the radius are in one component of these links. Fingerprints that share a variant differ
+    in twice the ball's bits at most. For even radii that is the radius, so each is linked to its bucket's smallest only;
+    for odd ones a bucket's fingerprints, as many as there are masks at most, are compared with each other.
     """
-    near = F.array(*[F.lit(m).cast("bigint") for m in masks(radius // 2, bits)])
-    spread = prints.select("fp").distinct().select("fp", F.explode(F.transform(near, lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
-    # The fingerprints of a bucket lie within half the radius of its variant: as many as there are masks at most.
+    ball = masks((radius + 1) // 2, bits)
+    near = F.array(*[F.lit(m).cast("bigint") for m in ball])
+    distinct = prints.select("fp").distinct()
+    tasks = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-prints.count() * len(ball) // VARIANTS_A_TASK))
+    spread = distinct.repartition(tasks, "fp").select("fp", F.explode(F.transform(near, lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
+    # The fingerprints of a bucket lie within the ball around its variant: as many as there are masks at most.
     met = spread.groupBy("variant").agg(F.array_sort(F.collect_list("fp")).alias("fps")).where(F.size("fps") > 1)
-    pairs = met.select(F.get("fps", F.lit(0)).alias("a"), F.explode(F.slice("fps", 2, len(masks(radius // 2, bits)))).alias("b")).distinct()
+    if radius % 2:
+        met = met.select(F.posexplode("fps").alias("at", "a"), "fps").select("a", F.slice("fps", F.col("at") + 2, F.lit(len(ball))).alias("others"))
+    else:
+        met = met.select(F.get("fps", F.lit(0)).alias("a"), F.slice("fps", 2, len(ball)).alias("others"))
+    pairs = met.select("a", F.explode("others").alias("b")).distinct()
     return pairs.withColumn("distance", F.bit_count(F.col("a").bitwiseXOR(F.col("b")))).where(F.col("distance") <= radius)
 
 
-def ball_pairs(prints: DataFrame, band: str, bits: int) -> DataFrame:
-    """(band, a, b), a < b: all pairs of distinct fingerprints (column fp) of a band within 2 bits, from one-bit balls.
-
-    A variant travels as one number - band, variant, and which bit was turned - so the shuffle, which has bits + 1 rows a
-    fingerprint, carries 8 bytes a row. Its order puts a bucket's rows side by side; a bucket has bits + 1 of them at most.
-    """
-    if bits > 48:
-        raise ValueError("a variant has to fit one number")
-    spread = prints.select(F.col(band).cast("bigint").alias("band"), "fp").distinct()
-    spread = spread.select("band", "fp", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("i"))
-    variant = F.when(F.col("i") == bits, F.col("fp")).otherwise(F.expr("fp ^ shiftleft(1L, i)"))
-    packed = spread.select(F.shiftleft("band", bits + 6).bitwiseOR(F.shiftleft(variant, 6)).bitwiseOR(F.col("i").cast("bigint")).alias("packed"))
-    dealt = packed.repartition(F.shiftright("packed", 6)).sortWithinPartitions("packed")
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty(0, dtype=np.int64)
-
-        def pairs(rows: np.ndarray) -> pa.RecordBatch:
-            keys = rows >> 6
-            fps = np.where((rows & 63) == bits, keys, keys ^ (1 << (rows & 63)))
-            found = [(np.minimum(fps[:-n], fps[n:])[same], np.maximum(fps[:-n], fps[n:])[same]) for n in range(1, bits + 1) if n < len(rows) and (same := keys[n:] == keys[:-n]).any()]
-            a, b = (np.concatenate([f[k] for f in found]) if found else np.empty(0, dtype=np.int64) for k in (0, 1))
-            low = (1 << bits) - 1
-            return pa.RecordBatch.from_arrays([pa.array(a >> bits), pa.array(a & low), pa.array(b & low)], names=["band", "a", "b"])
-
-        for batch in batches:
-            rows = np.concatenate([held, batch.column("packed").to_numpy()])
-            last = int(np.searchsorted(rows, (rows[-1] >> 6) << 6)) if len(rows) else 0
-            held = rows[last:]
-            yield pairs(rows[:last])
-        yield pairs(held)
-
-    return dealt.mapInArrow(meet, "band BIGINT, a BIGINT, b BIGINT").distinct().where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).withColumnRenamed("band", band)
-
-
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): the smallest node that each linked node reaches.
 
@@ -225,22 +203,32 @@ def common_shingles(bare: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
     return tokens[order], counts[order]
 
 
+#: Texts by this fingerprint distance or less are the first candidates.
+NEAR_BITS = 2
+
+
 def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
     """(a, b, similarity) between digests of different texts whose `words`-word shingle sets have that Jaccard similarity or more.
 
-    Every two such texts are in one component of these links. They meet by a token of their prefixes. Each token's texts
-    are compared with that one of them that meets most others, as the source of many copies does; then all that meet and
-    are not in one component yet are compared with each other. Candidates whose cell counts leave the similarity possible
-    are verified on whole texts.
+    Every two such texts are in one component of these links. Candidates come in three steps, each sifted by cell counts and
+    verified on whole texts. (1) SimHash fingerprints within NEAR_BITS meet in their balls. Texts of that similarity can be
+    ten bits apart, further than balls reach, so the rest meet by a token of their prefixes, which loses none: (2) each
+    token's texts are compared with that one of them that meets most others, as the source of many copies does; (3) all
+    that meet and are not in one component yet are compared with each other.
     """
     bare = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).select(text_digest("text").alias("digest"), "text")
     common = bare.sparkSession.sparkContext.broadcast(common_shingles(bare, words))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py(), words) for t in batch.column("text")]
+            first = np.sort(np.unique(np.array(batch.column("digest").to_pylist(), dtype=object), return_index=True)[1])  # a batch's copies once
+            batch = batch.take(pa.array(first))
+            hashes = [shingle_hashes(t.as_py(), words) for t in batch.column("text")]
+            prints = np.array([fingerprint(h) for h in hashes], dtype=np.uint64).view(np.int64)
+            sets = [np.unique(h) for h in hashes]
             tokens = [prefix_tokens(s, similarity, *common.value).view(np.int64) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(map(len, sets), pa.int32()), pa.array(tokens, pa.list_(pa.int64())), pa.array(map(cell_counts, sets), pa.binary())], names=["digest", "n", "tokens", "cells"])
+            cells = [batch.column("digest"), pa.array(map(len, sets), pa.int32()), pa.array(prints), pa.array(tokens, pa.list_(pa.int64())), pa.array(map(cell_counts, sets), pa.binary())]
+            yield pa.RecordBatch.from_arrays(cells, names=["digest", "n", "fp", "tokens", "cells"])
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,6 +242,7 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, text
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], names=["a", "b", "similarity"])
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b) those that are similar. b is the one with many partners: its text joins last and is not sent once a pair."""
         one, two = (printed.select(F.col("digest").alias(x), F.col("n").alias(f"n_{x}"), F.col("cells").alias(f"cells_{x}")) for x in "ab")
         pairs = materialise(pairs.join(one, "a").join(two, "b").mapInArrow(sift, "a BINARY, b BINARY"), "sifted")
         asked = pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct()
@@ -263,18 +252,30 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, text
         return both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a BINARY, b BINARY, similarity DOUBLE").where(F.col("similarity") >= similarity)
 
     def candidates(met: DataFrame) -> DataFrame:
-        """Pairs from columns x, y (structs n, digest): of sizes that allow the similarity."""
+        """Distinct pairs (a, b) from columns x, y (structs n, digest) of sizes that allow the similarity; b is a pair's y."""
         fit = F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9
-        return met.where(fit).select(F.least("x.digest", "y.digest").alias("a"), F.greatest("x.digest", "y.digest").alias("b")).distinct()
+        pairs = met.where(fit).groupBy(F.least("x.digest", "y.digest").alias("low"), F.greatest("x.digest", "y.digest").alias("high")).agg(F.max("y.digest").alias("b"))
+        return pairs.select(F.when(F.col("b") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("a"), "b")
+
+    def without(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+        both = tried.select("a", "b").union(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        return pairs.join(both, ["a", "b"], "left_anti")
+
+    printed = materialise(bare.mapInArrow(make, "digest BINARY, n INT, fp BIGINT, tokens ARRAY<BIGINT>, cells BINARY").dropDuplicates(["digest"]), "prefixes")
+
+    # Of equal fingerprints each text is compared with the smallest, as is the smallest of a linked fingerprint.
+    text_of = F.struct("n", "digest")
+    firsts = materialise(printed.groupBy("fp").agg(F.min(text_of).alias("y")), "firsts")
+    same = printed.join(firsts, "fp").where("digest <> y.digest").select(text_of.alias("x"), "y")
+    balls = ball_links(printed, NEAR_BITS).join(firsts.select(F.col("fp").alias("a"), F.col("y").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), "y"), "b")
+    near = materialise(candidates(same.unionByName(balls.select("x", "y"))), "near")
 
-    printed = materialise(bare.mapInArrow(make, "digest BINARY, n INT, tokens ARRAY<BIGINT>, cells BINARY").dropDuplicates(["digest"]), "prefixes")
     spread = printed.select("digest", "n", F.explode("tokens").alias("token"))
     met = materialise(spread.withColumn("texts", F.count("*").over(W.partitionBy("token"))).where("texts > 1"), "met")
-
     weighed = met.join(met.groupBy("digest").agg(F.sum("texts").alias("weight")), "digest")
     hubs = weighed.groupBy("token").agg(F.max(F.struct("weight", "n", "digest")).alias("y"))
-    stars = met.join(hubs, "token").where("digest <> y.digest").select(F.struct("n", "digest").alias("x"), "y")
-    tried = materialise(candidates(stars), "stars")
+    stars = met.join(hubs, "token").where("digest <> y.digest").select(F.struct("n", "digest").alias("x"), F.struct("y.n", "y.digest").alias("y"))
+    tried = materialise(near.unionByName(without(candidates(stars), near)), "stars")
     links = materialise(verified(tried), "star_links")
 
     roots = components(links)
@@ -285,15 +286,25 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, text
     within = placed.join(largest, "token").select("token", "root", "largest", F.struct("n", "digest").alias("text"))
     other = within.where("root <> largest.root").select("token", F.col("root").alias("root_x"), F.col("text").alias("x"))
     across = other.join(within.select("token", F.col("root").alias("root_y"), F.col("text").alias("y")), "token").where("root_x <> root_y")
-    left = materialise(candidates(across).join(tried, ["a", "b"], "left_anti"), "across")
+    left = materialise(without(candidates(across), tried), "across")
     return links.unionByName(verified(left))
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` without near-duplicates: of each group of linked texts the row with the smallest key stays (nulls last)."""
+    """The rows of `docs` without near-duplicates: of each group of linked texts the row with the smallest key stays (nulls last).
+
+    Groups decide on digests and keys; partial minima leave a row for a text and a map task, whatever its copies. Whole rows
+    move once, by text and key together, so no group meets in one task. Of rows equal in both, one stays. Null texts are
+    empty ones; texts without words are copies of each other; all columns return as they are, whatever their names.
+    """
     roots = components(similar_links(docs, words, similarity, text))
-    digest, root, nth = "__digest", "__root", "__nth"
-    keyed = docs.withColumn(digest, text_digest(F.coalesce(F.col(text), F.lit(""))))
-    rooted = keyed.join(roots.select(F.col("node").alias(digest), F.col("root").alias(root)), digest, "left")
-    of = W.partitionBy(F.coalesce(root, digest)).orderBy(F.asc_nulls_last(key), digest)
-    return rooted.withColumn(nth, F.row_number().over(of)).where(F.col(nth) == 1).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), text_digest(F.coalesce(F.col(text), F.lit(""))).alias("digest"), F.struct(F.col(key).isNull(), F.col(key)).alias("place"))
+    least = rows.groupBy("digest").agg(F.min("place").alias("place"))
+    rooted = least.join(roots, least["digest"] == roots["node"], "left").select("digest", "place", F.coalesce("root", "digest").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min(F.struct("place", "digest")).alias("kept")).select("kept.place", "kept.digest")
+
+    def name(df: DataFrame) -> DataFrame:
+        return df.withColumn("name", F.concat_ws(":", F.hex("digest"), F.col("place")[key].cast("string"), F.col("place.col1").cast("string")))
+
+    named = name(rows).select("row", "name").join(name(kept).select("name"), "name", "left_semi")
+    return named.withColumn("nth", F.row_number().over(W.partitionBy("name").orderBy("name"))).where("nth = 1").select("row.*")
