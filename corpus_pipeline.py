@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept, read back from Parquet. All but the
 last return the columns of documents; the last returns the packed pieces. Texts keep their place in the corpus by doc_id
-throughout.
+throughout. Nulls, empty and repeated texts, repeated ids, empty tables and further columns of any name are defined in the
+operators' docstrings: a stage gives back all columns as they are but for what it decides or redacts.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from webloom.llm import secrets
 from webloom.llm.packing import pack_documents
-from webloom.llm.quality import fit_quality, in_learning_part, score_quality
+from webloom.llm.quality import fit_quality, in_learning_part, keep_accepted
 from webloom.llm.simhash import keep_one_of_each
 from webloom.session import materialise, ship_package, table
 
@@ -25,8 +26,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents that the compression classifier accepts; it learns from the labelled rows that are not held out."""
     ship_package(spark)
     model = fit_quality(docs, table(spark, sf_dir, "labels"), learn=in_learning_part(F.col("doc_id")))
-    scored = score_quality(docs, model, carry=tuple(docs.columns))
-    return scored.where(F.col("score") >= LEAST_SCORE).select(*docs.columns)
+    return keep_accepted(docs, model, LEAST_SCORE)
 
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,11 +38,7 @@ def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret found replaced by a mark and n_chars counted anew where the text changed."""
     weights = secrets.train(secrets.default_samples(spark))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.withColumn("__spans", secrets.all_spans(text, weights))
-    changed = F.size("__spans") > 0
-    clean = found.withColumn("text", F.when(changed, secrets.redacted(text, F.col("__spans"))).otherwise(F.col("text")))
-    return clean.withColumn("n_chars", F.when(changed, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return secrets.redact_secrets(docs, weights)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
