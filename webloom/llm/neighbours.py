@@ -6,10 +6,11 @@ nearest pivots; a row's footrule distance is the sum of the differences of place
 counting as place PREFIX. The rows nearest by footrule are reranked by the exact measure, the inner product in double
 precision.
 
-The index is kept in segments of about SEGMENT rows and queries in blocks of about BLOCK, both dealt by hash; each
-(segment, block) is one unit of work of bounded memory. In each segment SHARE of the rows, and FLOOR rows at least, are
-reranked for every query, so the share examined does not depend on the size of the corpus. Rows of equal vectors are one
-entry: an index entry stands for all of them, and the best MEMBERS ids of each are enough for any query.
+The index is kept in segments of about SEGMENT rows and queries in blocks of about BLOCK, both dealt by hash. A segment
+moves once, to the task that searches it; blocks of queries travel to the segments. Each (segment, block) is one unit of
+work of bounded memory. In each segment SHARE of the rows, and as many as are asked for at least, are reranked for every
+query, at every size, so the share examined does not depend on the size of the corpus. Rows of equal vectors are one
+entry: an index entry stands for all of them, and the best k + 1 ids of each are enough for any query.
 
 Pivots are fitted on PIVOTS distinct vectors, those with the smallest hash of their id. Every row is indexed.
 
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 from webloom.session import materialise
 
 PIVOTS, PREFIX = 256, 64
-SEGMENT, BLOCK = 16384, 512
-SHARE, FLOOR = 0.25, 2048
+SEGMENT, BLOCK = 8192, 512
+SHARE = 0.25
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -55,9 +56,9 @@ class Segment:
         self.rows, self.places = (by_pivot // self.prefix).astype(np.int32), (by_pivot % self.prefix).astype(np.int32)
         self.begins = np.searchsorted(orders.ravel()[by_pivot], np.arange(pivots + 1))
 
-    def search(self, vector: np.ndarray, order: np.ndarray, keep: int, share: float = SHARE, floor: int = FLOOR) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, vector: np.ndarray, order: np.ndarray, keep: int, share: float) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the best `keep` of the rows nearest by footrule distance."""
-        many = max(floor, int(np.ceil(share * len(self.ids))))
+        many = max(keep, int(np.ceil(share * len(self.ids))))
         rows = np.arange(len(self.ids))
         if many < len(rows):
             # Footrule distance less what it is for an order that shares no pivot.
@@ -83,8 +84,9 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(fine, F.lit(False)) & F.coalesce(F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def search_nearest(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): the `k` nearest found for each row for which `queries` (a condition on column vec_id) holds."""
+def search_nearest(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", share: float = SHARE) -> DataFrame:
+    """(query_id, rank, vec_id, score): the `k` nearest found for each row for which `queries` (a condition on column vec_id) holds,
+    with `share` of each segment reranked."""
     members = k + 1  # one may be the query itself
     rows = vectors.select(F.col(key).cast("bigint").alias("vec_id"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
     width = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -114,8 +116,8 @@ def search_nearest(vectors: DataFrame, queries: Column, k: int = 20, key: str =
         dealt = df.select(F.pmod(F.xxhash64("id"), F.lit(many)).cast("int").alias("part"), "id", "v")
         return dealt.groupBy("part").applyInArrow(gather, "part INT, ids BINARY, matrix BINARY, orders BINARY")
 
-    index = parts(classes, segments).select(F.col("part").alias("segment"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.struct("ids", "matrix", "orders").alias("rows"))
-    batch = parts(asking, blocks).select(F.explode(F.sequence(F.lit(0), F.lit(segments - 1))).alias("segment"), F.col("part").alias("block"), F.struct("ids", "matrix", "orders").alias("queries"))
+    index = parts(classes, segments).select(F.col("part").alias("segment"), F.struct("ids", "matrix", "orders").alias("rows"))
+    batch = parts(asking, blocks).select(F.explode(F.sequence(F.lit(0), F.lit(segments - 1))).alias("segment"), F.struct("ids", "matrix", "orders").alias("queries"))
 
     def arrays(cell: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids = np.frombuffer(cell["ids"], "<i8")
@@ -125,11 +127,11 @@ def search_nearest(vectors: DataFrame, queries: Column, k: int = 20, key: str =
         for table in batches:
             for i in range(table.num_rows):
                 segment = Segment(*arrays(table.column("rows")[i].as_py()), len(pivots.value))
-                found = [(q, *segment.search(v, o, members)) for q, v, o in zip(*arrays(table.column("queries")[i].as_py()))]
+                found = [(q, *segment.search(v, o, members, share)) for q, v, o in zip(*arrays(table.column("queries")[i].as_py()))]
                 sizes = [len(ids) for _, ids, _ in found]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat([q for q, _, _ in found], sizes), pa.int64()), pa.array(np.concatenate([ids for _, ids, _ in found]), pa.int64()), pa.array(np.concatenate([s for _, _, s in found]), pa.float64())], names=["asking", "id", "score"])
 
-    hits = index.join(batch, ["segment", "block"]).select("rows", "queries").mapInArrow(find, "asking BIGINT, id BIGINT, score DOUBLE")
+    hits = index.join(batch, "segment").select("rows", "queries").mapInArrow(find, "asking BIGINT, id BIGINT, score DOUBLE")
     nearest = W.partitionBy("asking").orderBy(F.desc("score"), "id")
     top = hits.withColumn("nth", F.row_number().over(nearest)).where(F.col("nth") <= members)
     # The best ids of each class asked for, then each query's own share of them.

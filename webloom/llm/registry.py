@@ -19,6 +19,8 @@ from webloom.session import materialise, scratch_path, table
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
 WORD_BPE = "word_bpe_49k.json"
+#: Session setting that names the folder of stored token counts; without it a run has a cache of its own.
+TOKEN_CACHE = "spark.webloom.tokenCache"
 
 
 def op1_quality_classifier(spark, sf_dir):
@@ -57,7 +59,8 @@ def op7_simhash_dedup(spark, sf_dir):
 
 
 def op8_token_counts(spark, sf_dir):
-    counts = count_tokens(table(spark, sf_dir, "documents"), scratch_path(spark, "token_counts"), public_tokenizers.path(WORD_BPE))
+    cache = spark.conf.get(TOKEN_CACHE, None) or scratch_path(spark, "token_counts")
+    counts = count_tokens(table(spark, sf_dir, "documents"), cache, public_tokenizers.path(WORD_BPE))
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 

@@ -5,7 +5,7 @@ lists together give every position exactly, in code points, by running sums.
 
 Strings without a fixed form are judged by two character Markov models, one of random strings and one of ordinary
 identifiers, both estimated from labelled samples: a run of key characters is a secret if its log-likelihood ratio is
-high, in total and a transition. Runs that touch a fixed form are left to it.
+high, in total and a transition. Runs inside a fixed form are left to it; those that reach beyond one are spans of their own.
 
 Defined results. Null text: as an empty one, no spans. Empty table: no rows. Null, repeated and clashing ids: a row each.
 Very long texts are scanned whole. Other columns are ignored, unless `redact_secrets` carries them on.
@@ -13,10 +13,7 @@ Very long texts are scanned whole. Other columns are ignored, unless `redact_sec
 
 from __future__ import annotations
 
-import builtins
-import keyword
 import math
-import sys
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,11 +30,26 @@ SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 RUN = r"[A-Za-z0-9+/_=-]{20,}"
 LEAST_RATIO, LEAST_RATIO_EACH = 12.0, 0.45
 SMOOTHING = 0.5
+#: Words of which the sample of ordinary identifiers is made.
+ORDINARY = """
+account action active address after apply archive array assert async backup balance base batch before branch buffer build button
+cache center change channel character check client clone cluster code collection comment commit compare complete component context
+control convert copy count database date decode default define design detail device dialog directory domain download editor
+element email entry error event example exception factory feature field file filter format forward frame function future graph
+group handle header height image import index initial input integer interface internal item iterator length level library limit
+link location logger manager mapping master menu merge message method minimum monitor network normal notify number operation
+option order origin output parameter parent parse partition path permission person phone picture plugin preview previous primary
+print private program project property protocol provider random range reader receive record register release remote remove render
+request reset resource response result root router runtime sample schedule scroll search section security select service session
+setting shadow share snapshot socket source space special state static status storage stream success support switch symbol system
+template terminal test theme thread token tracker traffic transaction transfer update upload user utility validate version view
+visible volume warning wrapper write zone
+"""
 SPAN = "struct<start:int,kind_no:int,end:int>"
 
 
 def default_samples(spark: SparkSession, random_strings: int = 4000) -> DataFrame:
-    """(sample, random): digests in several alphabets, and names from Python's keywords, built-ins and library in common spellings."""
+    """(sample, random): digests in several alphabets, and names of one to three ordinary words in common spellings."""
     seeds = spark.range(random_strings)
     digest = F.sha2(F.concat(F.lit("sample-"), F.col("id").cast("string")), 512)
     kind = F.pmod("id", F.lit(4))
@@ -49,8 +61,7 @@ def default_samples(spark: SparkSession, random_strings: int = 4000) -> DataFram
         .alias("sample"),
         F.lit(True).alias("random"),
     )
-    words = sorted({w.strip("_") for w in [*keyword.kwlist, *dir(builtins), *dir(str), *dir(math), *dir(sys), *sys.stdlib_module_names, *dir(F)]} - {""})
-    ordinary = [w for w in words if w.isascii()]
+    ordinary = ORDINARY.split()
     pairs = list(zip(ordinary, ordinary[7:] + ordinary[:7], ordinary[31:] + ordinary[:31]))
     spelled = [x for a, b, c in pairs for x in (a, f"{a}_{b}", f"{a}-{b}-{c}", a + b.capitalize() + c.capitalize(), f"{a}/{b}/{c}", (a + b + c).lower(), f"{a}_{b}".upper(), a.lower() + "2024")]
     named = spark.createDataFrame([(x, False) for x in spelled], "sample string, random boolean")
@@ -78,7 +89,7 @@ def train(samples: DataFrame, sample: str = "sample", random: str = "random") ->
 def _ratio(run: Column, weights: list[float]) -> Column:
     """Log-likelihood ratio of a run, from its first sign to its last."""
     table = F.expr(f"cast(split('{','.join(f'{w:.5f}' for w in weights)}', ',') as array<double>)")  # foldable: one constant in the plan
-    codes = F.transform(F.sequence(F.lit(1), F.length(run)), lambda i: F.instr(F.lit(SIGNS), F.substring(run, i, F.lit(1))))
+    codes = F.transform(F.split(run, ""), lambda c: F.instr(F.lit(SIGNS), c))  # once through the run, however long
     start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("last"))
 
     def step(acc: Column, code: Column) -> Column:
@@ -127,8 +138,8 @@ def random_spans(text: Column, weights: list[float]) -> Column:
 
 
 def joined_spans(base: Column, random: Column) -> Column:
-    """All fixed forms, and the random runs that touch none."""
-    apart = F.filter(random, lambda r: ~F.exists(base, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    """All fixed forms, and the random runs that reach beyond any of them."""
+    apart = F.filter(random, lambda r: ~F.exists(base, lambda b: (b["start"] <= r["start"]) & (r["end"] <= b["end"])))
     return F.when(F.size(random) == 0, base).otherwise(F.array_sort(F.concat(base, apart)))
 
 

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from webloom.llm.subword import slices
 from webloom.session import materialise
 
 BITS = 64
@@ -167,8 +168,9 @@ def text_digest(text):
 
 def jaccard(a: str | None, b: str | None, words: int) -> float:
     """Of the sets of word shingles; 1 for two texts without words."""
-    one, two = set(shingle_hashes(a, words).tolist()), set(shingle_hashes(b, words).tolist())
-    return len(one & two) / len(one | two) if one or two else 1.0
+    one, two = shingle_set(a, words), shingle_set(b, words)
+    shared = len(np.intersect1d(one, two, assume_unique=True))
+    return shared / (len(one) + len(two) - shared) if len(one) or len(two) else 1.0
 
 
 #: Cells in which a text's shingles are counted, and the count from which a cell only says "many".
@@ -222,13 +224,13 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, text
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             first = np.sort(np.unique(np.array(batch.column("digest").to_pylist(), dtype=object), return_index=True)[1])  # a batch's copies once
-            batch = batch.take(pa.array(first))
-            hashes = [shingle_hashes(t.as_py(), words) for t in batch.column("text")]
-            prints = np.array([fingerprint(h) for h in hashes], dtype=np.uint64).view(np.int64)
-            sets = [np.unique(h) for h in hashes]
-            tokens = [prefix_tokens(s, similarity, *common.value).view(np.int64) for s in sets]
-            cells = [batch.column("digest"), pa.array(map(len, sets), pa.int32()), pa.array(prints), pa.array(tokens, pa.list_(pa.int64())), pa.array(map(cell_counts, sets), pa.binary())]
-            yield pa.RecordBatch.from_arrays(cells, names=["digest", "n", "fp", "tokens", "cells"])
+            for part in slices(batch.take(pa.array(first)), "text", most=2 << 20):
+                hashes = [shingle_hashes(t.as_py(), words) for t in part.column("text")]
+                prints = np.array([fingerprint(h) for h in hashes], dtype=np.uint64).view(np.int64)
+                sets = [np.unique(h) for h in hashes]
+                tokens = [prefix_tokens(s, similarity, *common.value).view(np.int64) for s in sets]
+                cells = [part.column("digest"), pa.array(map(len, sets), pa.int32()), pa.array(prints), pa.array(tokens, pa.list_(pa.int64())), pa.array(map(cell_counts, sets), pa.binary())]
+                yield pa.RecordBatch.from_arrays(cells, names=["digest", "n", "fp", "tokens", "cells"])
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -5,7 +5,8 @@ looked up, not computed, for any copy seen before, and a changed tokenizer never
 misses are encoded; their counts are appended to the cache, a Parquet folder with one partition per tokenizer version.
 
 Normalising may not change a count: runs of ASCII white space become one space and the ends are trimmed, which a
-tokenizer that drops white space cannot see. `normalise=False` takes the text as it is, for any other tokenizer.
+tokenizer that drops white space cannot see. Other tokenizers are refused by `word_vocabulary`; `normalise=False` keys
+the cache by texts as they are.
 
 Defined results. Null text: as an empty one, 0 tokens. Null ids, repeated rows and repeated ids: a row each. Empty
 table: empty result, nothing is appended. Special strings inside texts count as the library's default has them. Other
