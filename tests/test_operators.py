@@ -2,9 +2,11 @@ import math
 
 from pyspark.sql import functions as F
 
+from webloom.functions import urls
 from webloom.operators import frontier, hosts, index, reports, robots, search
 from webloom.plans import cases
 from webloom.sources import lists, responses
+from webloom.streaming import ingest
 
 PAGES = [
     (0, "https://a.org/0", "apple pie", "", "apple and cherry pie with sugar"),
@@ -67,12 +69,14 @@ def test_hosts(spark):
 
 
 def test_robots(spark):
-    files = cases.robots_files(spark)
+    """What a reading of three small files by hand gives."""
+    files = spark.createDataFrame([("a", "User-agent: *\nDisallow: /p\nAllow: /p/open\nDisallow:\nSitemap: https://a/m.xml"), ("b", "user-agent: otherbot\nuser-agent: webloombot\ndisallow: /ours\n\nuser-agent: *\ndisallow: /"), ("c", "User-agent: *\nContent-Signal: search=no")], "site string, body string")
     rules, signals = robots.robots_rules(files, cases.AGENT)
-    assert sorted(tuple(r) for r in rules.collect()) == sorted(cases.RULES)
-    found = {(r["site"], r["path"]): r["allowed"] for r in robots.robots_allowed(cases.robots_paths(spark), rules, signals).collect()}
-    assert {k for k, v in found.items() if not v} == cases.DENIED
-    assert [r["sitemap"] for r in robots.sitemaps(files).collect()] == ["https://a.example/sitemap.xml"]
+    assert sorted(tuple(r) for r in rules.collect()) == [("a", False, ""), ("a", False, "/p"), ("a", True, "/p/open"), ("b", False, "/ours")]
+    paths = spark.createDataFrame([(s, p) for s in "abcd" for p in ("/", "/p", "/p/open/x", "/ours")], "site string, path string")
+    found = {(r["site"], r["path"]) for r in robots.robots_allowed(paths, rules, signals).collect() if not r["allowed"]}
+    assert found == {("a", "/p"), ("b", "/ours"), ("c", "/"), ("c", "/p"), ("c", "/p/open/x"), ("c", "/ours")}
+    assert [r["sitemap"] for r in robots.sitemaps(files).collect()] == ["https://a/m.xml"]
 
 
 def test_lists(spark, tmp_path):
@@ -147,3 +151,32 @@ def test_dense_ids_over_many_ranges(spark):
     found = index.dense_ids(pages.dropDuplicates(["u"]), ["u"], 5)
     row = found.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
     assert tuple(row) == (20_000, 20_000, 5, 20_004)
+
+
+def test_addresses_that_cannot_be_parsed(spark):
+    fine = {"http://h/?q=a|b": "h", "http://h/a b": "h", "http://h/a^b": "h", "http://h/?q={x}": "h", "//u@h:8/x": "h:8", "http://h/?%zz": "h", "HTTP://H": "H"}
+    bad = ["http://h/%zz", "http://h h/", "http://h/\n", "no address", "", None]
+    rows = spark.createDataFrame([(u,) for u in [*fine, *bad]], "u string").select("u", urls.host_port(F.col("u")).alias("h")).collect()
+    assert {r["u"]: r["h"] for r in rows} == fine | dict.fromkeys(bad)
+
+
+def test_merges_and_versions(spark, tmp_path):
+    path = f"file://{tmp_path}"
+    for n in range(9):
+        pages = spark.createDataFrame([(f"https://a.org/{i}", f"title{n}", "", "x") for i in range(n, n + 2)], "url string, title string, description string, text string")
+        ingest.commit_batch(pages, n, path, ["url"], replace=True)
+    while ingest.merge_once(spark, path):
+        pass
+    live = ingest.segments(spark, path)
+    assert [(s.first, s.last, s.merged) for s in live] == [(0, 6, True), (7, 7, False), (8, 8, False)] and sum(s.n_docs for s in live) == 18
+    ix = ingest.read_index(spark, path)
+    assert sorted((r["url"][-1], r["title"]) for r in ix.docs.collect()) == [(str(i), f"title{min(i, 8)}") for i in range(10)]
+    assert {r["term"]: r["df"] for r in ix.terms.collect() if r["term"].startswith("title")} == {f"title{i}": 2 if i == 8 else 1 for i in range(9)}
+
+
+def test_line_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text('{"u":"https://a.org/1","t":"one","x":"words"}\n{"u":\n')
+    running = ingest.start_ingest(ingest.line_stream(spark, f"file://{tmp_path}/in"), f"file://{tmp_path}/ix", f"file://{tmp_path}/cp", ["url"], once=True)
+    running.awaitTermination()
+    assert [r["url"] for r in ingest.read_index(spark, f"file://{tmp_path}/ix").docs.collect()] == ["https://a.org/1"]

@@ -105,12 +105,12 @@ def _mapped(f, kind: str):
     return apply
 
 
-def packed_text(text: Column) -> Column:
-    return _mapped(pack_text, "string")(text)
+def packed_text(text: Column, dictionary: bytes = b"") -> Column:
+    return _mapped(lambda t: pack_text(t, dictionary), "string")(text)
 
 
-def unpacked_text(packed: Column) -> Column:
-    return _mapped(unpack_text, "string")(packed)
+def unpacked_text(packed: Column, dictionary: bytes = b"") -> Column:
+    return _mapped(lambda p: unpack_text(p, dictionary), "string")(packed)
 
 
 def packed_postings(pairs: Column) -> Column:
@@ -122,9 +122,9 @@ def unpacked_postings(packed: Column) -> Column:
     return _mapped(lambda s: None if (p := unpack_postings(s)) is None else [{"doc_id": d, "tf": t} for d, t in p], "array<struct<doc_id:bigint,tf:bigint>>")(packed)
 
 
-def stored_text(plain: Column, packed: Column) -> Column:
+def stored_text(plain: Column, packed: Column, dictionary: bytes = b"") -> Column:
     """Full text of a stored page: the packed one if there is one and it can be read, else the plain one."""
-    return F.coalesce(unpacked_text(F.nullif(packed, F.lit(""))), plain)
+    return F.coalesce(unpacked_text(F.nullif(packed, F.lit("")), dictionary), plain)
 
 
 def fnv1a(text: Column) -> Column:

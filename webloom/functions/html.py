@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html
 import re
+from itertools import accumulate
 from urllib.parse import urldefrag, urljoin
 
 import pandas as pd
@@ -22,8 +23,14 @@ DESCRIPTIONS = {("name", "description"), ("name", "twitter:description"), ("prop
 TITLE, DESCRIPTION, TEXT, TEXT_BYTES = 200, 300, 2000, 8000
 
 FIELDS = "title string, description string, text string, links array<string>"
-#: A comment; a tag with quotes respected; a comment or tag that never ends; a bare "<".
-_MARK = re.compile(r"<!--.*?-->|<(?P<close>/?)(?P<name>[A-Za-z0-9:_-]+)(?P<rest>(?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>|(?P<broken><!--|</?[A-Za-z0-9:_-]+)|<", re.S)
+_INSIDE = r"(?:[^\"'>]|\"[^\"]*\"|'[^']*')*"
+#: Marks between runs of text: a comment; an element without text, whole; a tag with quotes respected; a comment or tag that
+#: never ends, with all that follows; a bare "<".
+_MARK = re.compile(
+    rf"<!--.*?-->|<(?P<hidden>{'|'.join(sorted(SKIPPED))})(?![A-Z0-9:_-]){_INSIDE}(?<!/)>.*?(?=</(?P=hidden)|\Z)"
+    rf"|<(?P<close>/?)(?P<name>[A-Z0-9:_-]+)(?P<inside>{_INSIDE})>|(?:<!--|</?[A-Z0-9:_-]).*|<",
+    re.S | re.I | re.A,
+)
 _ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:[ \t\n\r\f]*=[ \t\n\r\f]*(?:\"([^\"]*)\"?|'([^']*)'?|([^ \t\n\r\f>]*)))?")
 
 
@@ -39,56 +46,34 @@ def _tidy(text: str, most: int) -> str:
     return " ".join(html.unescape(text).split())[:most]
 
 
+def _states(marks: list, turn, start):
+    """The state before each run of text: `turn(state, name, closing)` applied over the marks."""
+    return accumulate(marks, lambda state, mark: turn(state, mark[0], mark[1]), initial=start)
+
+
 def page_fields(page: str | None, with_links: bool = True, most_bytes: int = TEXT_BYTES) -> dict:
+    """A page's marks are found once. What the text between them is - title, head, furniture or shown - follows from running
+    states over the marks, one for each rule; title and text are then selections of the runs."""
     page = page or ""
-    title: list[str] = []
-    shown: list[str] = []
-    links: list[str] = []
-    description, size, depth, in_head, in_title, at = "", 0, 0, False, False, 0
-
-    def show(piece: str) -> None:
-        nonlocal size
-        if piece and not depth and not in_head and size < most_bytes:
-            shown.append(piece)
-            size += len(piece.encode())
-
-    while at < len(page):
-        mark = _MARK.search(page, at)
-        until = mark.start() if mark else len(page)
-        if in_title:
-            title.append(page[at:until])
-        else:
-            show(page[at:until])
-        if not mark or mark["broken"] or (not with_links and size >= most_bytes and description):
-            break
-        at = mark.end()
-        if not mark["name"]:
-            if mark[0] == "<" and not in_title:
-                show("<")
-            continue
-        name, closing, rest = mark["name"].lower(), bool(mark["close"]), mark["rest"]
-        empty = rest.endswith("/")
-        if name in SKIPPED:
-            if not closing and not empty:
-                end = re.compile(f"</{re.escape(name)}", re.I | re.A).search(page, at)
-                at = end.start() if end else len(page)
-        elif name == "title":
-            in_title = not closing
-        elif name == "head":
-            in_head = not closing
-        elif name == "body":
-            in_head = False
-        elif name in FURNITURE:
-            depth = max(0, depth - 1) if closing else depth + (not empty)
-        elif name == "meta" and not closing:
-            if not description and any(attribute(rest, key).lower() == value for key, value in DESCRIPTIONS):
-                description = attribute(rest, "content")
-        elif name == "a" and not closing and with_links:
-            if target := attribute(rest, "href"):
-                links.append(html.unescape(target))
-        elif name in PARTING:
-            show(" ")
-    return {"title": _tidy("".join(title), TITLE), "description": _tidy(description, DESCRIPTION), "text": _tidy("".join(shown), TEXT), "links": links}
+    found = list(_MARK.finditer(page))
+    runs = [page[a:b] for a, b in zip([0, *(m.end() for m in found)], [*(m.start() for m in found), len(page)])]
+    marks = [((m["name"] or "").lower(), bool(m["close"]), m["inside"] or "", m[0] == "<") for m in found]
+    titled = list(_states(marks, lambda on, name, closing: not closing if name == "title" else on, False))
+    headed = _states(marks, lambda on, name, closing: not closing if name == "head" else on and name != "body", False)
+    steps = [(inside.endswith("/"), name, closing) for name, closing, inside, _ in marks]
+    depths = accumulate(steps, lambda depth, s: max(0, depth - 1 if s[2] else depth + (not s[0])) if s[1] in FURNITURE else depth, initial=0)
+
+    # Each run is followed by what its mark shows: a bare sign, or the space of an element that parts words.
+    signs = ["<" if bare and not on else " " if name in PARTING else "" for (name, _, _, bare), on in zip(marks, titled)] + [""]
+    pieces = [p for run, sign, on, head, depth in zip(runs, signs, titled, headed, depths) if not head and not depth for p in ("" if on else run, sign) if p]
+    spent = accumulate((len(p.encode()) for p in pieces), initial=0)
+    shown = "".join(p for p, before in zip(pieces, spent) if before < most_bytes)
+
+    opened = [(name, inside) for name, closing, inside, _ in marks if not closing]
+    told = (attribute(inside, "content") for name, inside in opened if name == "meta" and any(attribute(inside, key).lower() == value for key, value in DESCRIPTIONS))
+    links = [html.unescape(target) for name, inside in opened if with_links and name == "a" and (target := attribute(inside, "href"))]
+    title = "".join(run for run, on in zip(runs, titled) if on)
+    return {"title": _tidy(title, TITLE), "description": _tidy(next(filter(None, told), ""), DESCRIPTION), "text": _tidy(shown, TEXT), "links": links}
 
 
 def resolve_links(base: str | None, links: list[str] | None) -> list[str]:

@@ -1,4 +1,8 @@
-"""Address functions as Column expressions. An address that cannot be parsed gives null."""
+"""Address functions as Column expressions.
+
+An address is split by the generic form of RFC 3986, whatever signs its path and query hold. With control characters, a
+damaged escape in its path, or signs that no host has in its host, it cannot be parsed and gives null.
+"""
 
 from __future__ import annotations
 
@@ -6,8 +10,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Scheme, host with its user and port, path, query; each with what sets it apart.
+GENERIC = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?"
+PARTS = {"PROTOCOL": 1, "AUTHORITY": 2, "PATH": 3, "QUERY": 4}
+DAMAGED = r"[\x00-\x1f\x7f]|^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*[\x20\\^`{|}%]|(?://[^/?#]*)?[^?#]*%(?![0-9A-Fa-f]{2}))"
+
+
 def _part(url: Column, name: str) -> Column:
-    return F.try_parse_url(url, F.lit(name))
+    """Null where there is none."""
+    found = F.regexp_extract(url, GENERIC, PARTS[name])
+    bare = {"AUTHORITY": F.substring(found, 3, 1 << 30), "QUERY": F.substring(found, 2, 1 << 30)}.get(name, found)
+    return F.when(~url.rlike(DAMAGED) & (found != ""), bare)
+
+
+def scheme(url: Column) -> Column:
+    return _part(url, "PROTOCOL")
 
 
 def host_port(url: Column) -> Column:
@@ -73,5 +90,5 @@ def wiki_address(article_path: Column, title: Column) -> Column:
     return F.replace(article_path, F.lit("$1"), name)
 
 
-def count_label(n: Column) -> Column:
-    return F.when(n >= 100, "100+").otherwise(n.cast("string"))
+def count_label(n: Column, most: int = 100) -> Column:
+    return F.when(n >= most, f"{most}+").otherwise(n.cast("string"))

@@ -20,11 +20,15 @@ LEVELS = (1_000, 8_000, 64_000, 512_000, 4_096_000)
 
 @dataclass(frozen=True)
 class Index:
-    """docs(doc_id, url, host, title, dl), postings(term, doc_id, tf), terms(term, df)."""
+    """docs(doc_id, url, host, title, dl), postings(term, doc_id, tf, dl), terms(term, df); a stored one also has its stats in one row.
+
+    A posting has its document's length, so scores need no look at docs.
+    """
 
     docs: DataFrame
     postings: DataFrame
     terms: DataFrame
+    stats: DataFrame | None = None
 
     def write(self, path: str) -> Index:
         """Lay the tables out for lookups: postings and terms sorted in ranges, so that row groups are skipped. A common term may fill many ranges."""
@@ -32,7 +36,7 @@ class Index:
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Index:
-        return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("docs", "postings", "terms")))
+        return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("docs", "postings", "terms", "stats")))
 
 
 def text_pages(docs: DataFrame) -> DataFrame:
@@ -61,12 +65,12 @@ def tokenised(pages: DataFrame) -> DataFrame:
     return _with_host(pages).select("doc_id", "url", "host", "title", F.least(length, F.lit(MOST)).alias("dl"), _weighted_words().alias("words"))
 
 
-def _word_rows(rows: DataFrame, words) -> DataFrame:
-    return rows.select("doc_id", F.explode(words).alias("word")).select("doc_id", "word.term", "word.w")
+def _word_rows(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", "dl", F.explode("words").alias("word")).select("doc_id", "dl", "word.term", "word.w")
 
 
 def _summed(each: DataFrame) -> DataFrame:
-    return each.groupBy("term", "doc_id").agg(F.least(F.sum("w"), F.lit(MOST)).cast("int").alias("tf"))
+    return each.groupBy("term", "doc_id").agg(F.least(F.sum("w"), F.lit(MOST)).cast("int").alias("tf"), F.max("dl").alias("dl"))
 
 
 def build_index(pages: DataFrame) -> Index:
@@ -74,7 +78,9 @@ def build_index(pages: DataFrame) -> Index:
 
     Postings are one aggregation whose partial sums are taken where the pages are read.
     """
-    postings = _summed(_word_rows(_with_host(pages), _weighted_words()))
+    words = _with_host(pages).select("doc_id", _weighted_words().alias("words"))
+    length = F.aggregate("words", F.lit(0), lambda n, word: n + word["w"])
+    postings = _summed(_word_rows(words.withColumn("dl", F.least(length, F.lit(MOST)))))
     return Index(tokenised(pages).drop("words"), postings, postings.groupBy("term").agg(F.count("*").alias("df")))
 
 
@@ -84,21 +90,25 @@ def store_index(pages: DataFrame, path: str) -> Index:
     spark = pages.sparkSession
     tokenised(pages).write.mode("overwrite").parquet(f"{path}/staged")
     rows = spark.read.parquet(f"{path}/staged")
-    return _lay_out(rows.drop("words"), _summed(_word_rows(rows, "words").repartitionByRange("term", "doc_id")), path)
+    return _lay_out(rows.drop("words"), _summed(_word_rows(rows).repartitionByRange("term", "doc_id")), path)
 
 
 def _lay_out(docs: DataFrame, postings: DataFrame, path: str) -> Index:
     """`postings` come dealt by range of (term, doc_id)."""
     spark = docs.sparkSession
     docs.write.mode("overwrite").parquet(f"{path}/docs")
-    postings.select("term", "doc_id", "tf").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+    postings.select("term", "doc_id", "tf", "dl").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
     terms = spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df"))
     terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    written = Index(*(spark.read.parquet(f"{path}/{name}") for name in ("docs", "postings", "terms")))
+    corpus_stats(written).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
     return Index.read(spark, path)
 
 
 def corpus_stats(index: Index) -> DataFrame:
     """n_docs, total_dl, avg_dl (1 at least), n_hosts, n_terms in one row."""
+    if index.stats is not None:
+        return index.stats
     docs = index.docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_dl"), F.count_distinct("host").alias("n_hosts"))
     avg = F.greatest(F.lit(1.0), F.coalesce(F.try_divide("total_dl", "n_docs"), F.lit(0.0)))
     return docs.select("n_docs", "total_dl", avg.alias("avg_dl"), "n_hosts", index.terms.agg(F.count("*")).scalar().alias("n_terms"))

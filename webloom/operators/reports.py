@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from webloom.functions.html import asset_links, resolved_links
@@ -22,15 +23,16 @@ def page_assets(links: Column, most: int = MOST_ASSETS) -> Column:
 
 
 def page_weight(pages: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(host, html_bytes, assets, bytes_per_visit) from pages(host, html_bytes, asset_urls) and sizes(url, bytes); sizes of 0 do not count."""
-    linked = pages.select("host", "html_bytes", F.explode_outer("asset_urls").alias("url")).join(sizes.where("bytes > 0"), "url", "left")
-    return linked.groupBy("host", "html_bytes").agg(F.count("bytes").alias("assets"), (F.first("html_bytes") + F.coalesce(F.sum("bytes"), F.lit(0))).alias("bytes_per_visit"))
+    """(host, page, html_bytes, assets, bytes_per_visit) from pages(host, page, html_bytes, asset_urls) and sizes(url, bytes); `page`
+    names a page; sizes of 0 do not count."""
+    linked = pages.select("host", "page", "html_bytes", F.explode_outer("asset_urls").alias("url")).join(sizes.where("bytes > 0"), "url", "left")
+    return linked.groupBy("host", "page", "html_bytes").agg(F.count("bytes").alias("assets"), (F.first("html_bytes") + F.coalesce(F.sum("bytes"), F.lit(0))).alias("bytes_per_visit"))
 
 
 def measure_pages(pages: DataFrame, sizes: DataFrame, egress: float, visits: int, most: int = MOST_ASSETS) -> DataFrame:
     """Weight and cost of landed front pages(host, url, html): their bytes and those of the first linked files, by sizes(url, bytes)."""
     linked = page_assets(resolved_links(F.col("url"), asset_links(F.col("html"))), most)
-    read = pages.select("host", F.octet_length("html").cast("bigint").alias("html_bytes"), linked.alias("asset_urls"))
+    read = pages.select("host", F.col("url").alias("page"), F.octet_length("html").cast("bigint").alias("html_bytes"), linked.alias("asset_urls"))
     return site_cost(page_weight(read, sizes), egress, visits)
 
 
@@ -46,6 +48,26 @@ def site_cost(weights: DataFrame, egress: float, visits: int) -> DataFrame:
     return weights.select("*", round_half_up(one * 1000).alias("usd_per_1000_visits"), round_half_up(one * visits).alias("usd_per_hour"), round_half_up(one * visits * 10).alias("usd_per_10_hours"))
 
 
+def measured_sites(measured: DataFrame, page_counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(measured, unreachable): rows without and with an error, each with the site's number of indexed pages, 0 if none is known."""
+    told = measured.join(page_counts.select("host", F.col("pages").alias("pages_indexed")), "host", "left").withColumn("pages_indexed", F.coalesce("pages_indexed", F.lit(0)))
+    failed = F.coalesce("error", F.lit("")) != ""
+    return told.where(~failed), told.where(failed)
+
+
+#: What a crawl counts.
+COUNTED = ("emitted", "sent", "failed", "errors", "skipped", "sites_started", "sites_done", "foreign")
+
+
+def crawl_counters(log: DataFrame, kind: str = "kind", ts: str = "ts", seconds: int = 5) -> DataFrame:
+    """(window_start, one total for each of COUNTED up to the window's end, pages_per_second emitted in it) from a log of what happened."""
+    every = log.where(F.col(kind).isin(*COUNTED)).groupBy(F.window(ts, f"{seconds} seconds")["start"].alias("window_start"))
+    counts = every.agg(*(F.count_if(F.col(kind) == name).alias(name) for name in COUNTED))
+    # One row a window: the log's length in time, not its rows.
+    so_far = W.orderBy("window_start").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return counts.select("window_start", *(F.sum(name).over(so_far).alias(name) for name in COUNTED), (F.col("emitted") / seconds).alias("pages_per_second"))
+
+
 def cost_report_lines(costs: DataFrame) -> DataFrame:
     """(line) of a Markdown table, costliest first."""
     in_browser = F.col("basis") == "browser"

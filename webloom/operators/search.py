@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from webloom.functions.text import STOP_WORDS, is_junk, is_stop
-from webloom.functions.urls import in_site, normal_form
+from webloom.functions.urls import count_label, in_site, normal_form
 from webloom.operators.index import Index, corpus_stats
 
 #: Saturation and length weight of BM25; rare words and their expansion; coordination; result sizes.
@@ -78,9 +78,8 @@ def _group_scores(index: Index, words: tuple[str, ...]) -> tuple[DataFrame, int]
     picked = spark.createDataFrame([tuple(r) for r in chosen], "word string, term string, df bigint")
     stats = corpus_stats(index).select("n_docs", "avg_dl").first()
     hits = index.postings.where(F.col("term").isin([r["term"] for r in chosen])).join(F.broadcast(picked), "term")
-    scored = hits.join(index.docs.select("doc_id", "dl"), "doc_id")
     score = bm25(F.col("tf"), F.col("df"), F.col("dl"), F.lit(float(stats["n_docs"])), F.lit(float(stats["avg_dl"])))
-    return scored.groupBy("word", "doc_id").agg(F.sum(score).alias("score")), len({r["word"] for r in chosen})
+    return hits.groupBy("word", "doc_id").agg(F.sum(score).alias("score")), len({r["word"] for r in chosen})
 
 
 def search(index: Index, query: str) -> DataFrame:
@@ -108,6 +107,20 @@ def search(index: Index, query: str) -> DataFrame:
     return hits.select("doc_id", "score", "host")
 
 
+def search_results(index: Index, query: str, first: int = 0, many: int = 10) -> DataFrame:
+    """(rank, url, title, host, score, total): one page of a result as a client shows it; total counts all hits. HITS rows at most are ranked."""
+    hits = search(index, query)
+    ranked = hits.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "doc_id"))).withColumn("total", F.count("*").over(W.partitionBy(F.lit(0))))
+    shown = ranked.where((F.col("rank") > first) & (F.col("rank") <= first + many)).drop("host")
+    return index.docs.join(F.broadcast(shown), "doc_id").select("rank", "url", "title", "host", "score", "total")
+
+
+def site_info(index: Index, site: str) -> DataFrame:
+    """(site, total) and whether a site is indexed at all: its first HOST_HITS pages counted, with the count's label."""
+    found = scan_host(index, site).agg(F.count("*").alias("total"))
+    return found.select(F.lit(site).alias("site"), "total", count_label(F.col("total")).alias("label"), (F.col("total") > 0).alias("indexed"))
+
+
 def scan_host(index: Index, site: str, most: int = HOST_HITS) -> DataFrame:
     """A site's first pages, for a query without words."""
     return index.docs.where(in_site(F.col("host"), site)).orderBy("doc_id").limit(most).select("doc_id", F.lit(1.0).alias("score"), "host")

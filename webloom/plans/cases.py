@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 SITE = "src1.example.org"
 PREFIX = "ti"
@@ -22,72 +23,72 @@ QUERIES = {
 NOW = 883612800
 AGENT = "Mozilla/5.0 (compatible; WebloomBot/1.0; +https://webloom.example/robots.txt)"
 
-ROBOTS = {
-    "a.example": "User-agent: *\nDisallow: /private\nAllow: /private/open\nDisallow: /tie\nAllow: /tie\nDisallow: /a*b$\nDisallow: /x.y # dot\nDisallow: /s*t*a*r*s*x*\nDisallow:\nSitemap: https://a.example/sitemap.xml",
-    "b.example": "user-agent: other\nuser-agent: webloombot\ndisallow: /ours\n\nuser-agent: *\ndisallow: /",
-    "c.example": "User-agent: *\nContent-Signal: ai=yes, search=no\nAllow: /",
-    "d.example": "User-agent: otherbot\nDisallow: /",
-}
-PATHS = ("/", "/private", "/private/open/x", "/tie", "/axxb", "/axxbc", "/x.y", "/xzy", "/s1t1a1r1s1x1", "/ours")
+
+#: Bodies of robots files by kind; {k} is the site's number.
+ROBOTS = (
+    "User-agent: *\nDisallow: /private\nAllow: /private/open\nDisallow: /tie\nAllow: /tie\nDisallow: /a*b$ # star\nDisallow: /x.{k}\nDisallow: /s*t*a*r*s*x*\nDisallow:\nSitemap: https://s{k}.example/m.xml",
+    "user-agent: other\nuser-agent: webloombot\ndisallow: /ours{k}\n\nuser-agent: *\ndisallow: /",
+    "User-agent: *\nContent-Signal: ai=yes, search=no\nAllow: /",
+    "User-agent: otherbot\nDisallow: /",
+)
+PATHS = ("/", "/private", "/private/open/x", "/tie", "/axxb", "/axxbc", "/x.7", "/xz7", "/s1t1a1r1s1x1", "/ours2", "/ours5/a")
 
 
-def robots_files(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(ROBOTS.items()), "site string, body string")
+def _sites(suppliers: DataFrame):
+    key = F.col("s_suppkey").cast("string")
+    return suppliers, key, F.concat(F.lit("s"), key, F.lit(".example"))
 
 
-def robots_paths(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(site, path) for site in ROBOTS for path in PATHS], "site string, path string")
+def robots_files(suppliers: DataFrame) -> DataFrame:
+    """A site for each supplier, its file of the kind that its key's rest by four names."""
+    rows, key, site = _sites(suppliers)
+    bodies = F.array(*(F.replace(F.lit(body), F.lit("{k}"), key) for body in ROBOTS))
+    return rows.select(site.alias("site"), F.get(bodies, F.pmod("s_suppkey", F.lit(4)).cast("int")).alias("body"))
 
 
-#: What a reading of the files by hand gives.
-RULES = [
-    ("a.example", False, "/private"), ("a.example", True, "/private/open"), ("a.example", False, "/tie"), ("a.example", True, "/tie"),
-    ("a.example", False, "/a*b$"), ("a.example", False, "/x.y"), ("a.example", False, "/s*t*a*r*s*x*"), ("a.example", False, ""),
-    ("b.example", False, "/ours"), ("c.example", True, "/"),
-]
-DENIED = {("a.example", "/private"), ("a.example", "/axxb"), ("a.example", "/x.y"), ("b.example", "/ours")} | {("c.example", p) for p in PATHS}
+def robots_paths(suppliers: DataFrame) -> DataFrame:
+    rows, _, site = _sites(suppliers)
+    return rows.select(site.alias("site"), F.explode(F.array(*map(F.lit, PATHS))).alias("path"))
 
-SHAPES = [
-    (0, "s", "https://h.example/p?b=1&a=2"), (1, "s", "https://h.example/p?a=5&b=6"), (2, "s", "https://h.example/q?a=1"),
-    (3, "s", "https://h.example/p"), (4, "s", "https://h.example/p"), (5, "s", "https://h.example/p?a=1&a=2"), (6, "t", "https://h.example/q?a=3"),
-]
-SHAPE_RESULTS = [
-    (0, "h.example/p?a&b", False), (1, "h.example/p?a&b", True), (2, "h.example/q?a", False), (3, None, False),
-    (4, None, False), (5, "h.example/p?a", False), (6, "h.example/q?a", False),
-]
 
+def shape_pages(pages: DataFrame) -> DataFrame:
+    """Addresses of seven sites with three paths and four kinds of query."""
+    number = F.col("page_id").cast("string")
+    queries = F.array(F.concat(F.lit("?b="), number, F.lit("&a=2")), F.concat(F.lit("?a="), number, F.lit("&b=6&b=7")), F.concat(F.lit("?a=1&&a="), number), F.lit(""))
+    site = F.concat(F.lit("h"), (F.col("page_id") % 7).cast("string"), F.lit(".example"))
+    url = F.concat(F.lit("https://"), site, F.lit("/p"), (F.col("page_id") % 3).cast("string"), F.get(queries, (F.col("page_id") % 4).cast("int")))
+    return pages.select(F.col("page_id").alias("pos"), site.alias("site"), url.alias("url"))
 
-def shape_pages(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SHAPES, "pos int, site string, url string")
 
+def seed_lines(suppliers: DataFrame) -> DataFrame:
+    """Lines of five kinds; the last two kinds name the site of the supplier before."""
+    key, before = F.col("s_suppkey").cast("string"), (F.col("s_suppkey") - 1).cast("string")
+    kinds = F.array(
+        F.lit("# list"), F.lit("  "), F.concat(F.lit(" one"), key, F.lit(".example ")), F.concat(F.lit("http://one"), before, F.lit(".example/x/y?q")),
+        F.concat(F.lit("one"), key, F.lit(".example\thttps://one"), key, F.lit(".example/map.xml")),
+    )
+    return suppliers.select(F.get(kinds, F.pmod("s_suppkey", F.lit(5)).cast("int")).alias("value"))
 
-SEEDS = ["# list", "", " one.example ", "http://two.example/x/y", "one.example", "one.example\thttps://one.example/map.xml", "three.example\tno-address"]
-SEED_RESULTS = [("https://one.example", ""), ("http://two.example", ""), ("https://one.example", "https://one.example/map.xml"), ("https://three.example", "")]
 
+def discovery(suppliers: DataFrame) -> dict[str, DataFrame]:
+    """Sites with one way of discovery each, by the key's rest by five: an llms.txt, an index of sitemaps, a wiki, the usual name, none."""
+    rows, key, host = _sites(suppliers)
+    site = F.concat(F.lit("https://"), host)
+    way = F.pmod("s_suppkey", F.lit(5))
 
-def seed_lines(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(s,) for s in SEEDS], "value string")
+    def part(n: int, **columns) -> DataFrame:
+        return rows.where(way == n).select(site.alias("site"), *(c.alias(name) for name, c in columns.items()))
 
+    def text(*parts) -> Column:
+        return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
 
-#: Sites and what they answered, one way of discovery each; and what a reading by hand finds.
-SITES = ("https://llms.example", "https://owner.example", "https://map.example", "https://wiki.example", "https://plain.example", "https://page.example")
-LLMS = [
-    ("https://llms.example", "# x\n- [a](https://llms.example/a?x=1&amp;y=2)\n- [m](mailto:b)"),
-    ("https://owner.example", "[a](https://owner.example/from-llms)"),
-    ("https://plain.example", " <html>[a](https://plain.example/no)</html>"),
-]
-SUBMITTED = [("https://owner.example", "https://owner.example/own.xml")]
-LISTED = [("https://map.example", 0, "https://map.example/index.xml"), ("https://wiki.example", 0, "https://wiki.example/gone.xml")]
-LANDED = [
-    ("https://owner.example/own.xml", "<urlset><url><loc>https://owner.example/1</loc></url></urlset>"),
-    ("https://map.example/index.xml", "<sitemapindex><loc>https://map.example/a.xml?x=1&amp;y=2</loc><loc>https://map.example/index.xml</loc></sitemapindex>"),
-    ("https://map.example/a.xml?x=1&y=2", "<urlset><loc> https://map.example/1?a&amp;b </loc><loc>https://map.example/2</loc><LOC>no</LOC></urlset>"),
-    ("https://plain.example/sitemap.xml", "<urlset><loc>https://plain.example/usual</loc></urlset>"),
-]
-WIKIS = [("https://wiki.example",), ("https://map.example",)]
-DISCOVERED = [
-    ("https://llms.example", "llms.txt", "https://llms.example/a?x=1&y=2"), ("https://owner.example", "sitemap", "https://owner.example/1"),
-    ("https://map.example", "sitemap", "https://map.example/1?a&amp;b"), ("https://map.example", "sitemap", "https://map.example/2"),
-    ("https://wiki.example", "mediawiki", None), ("https://plain.example", "sitemap", "https://plain.example/usual"),
-    ("https://page.example", "html", "https://page.example/"),
-]
+    listed = part(1, pos=F.lit(0), sitemap=text(site, "/index.xml")).unionByName(part(2, pos=F.lit(0), sitemap=text(site, "/gone.xml")))
+    landed = part(1, addr=text(site, "/index.xml"), body=text("<sitemapindex><loc>", site, "/a.xml?x=1&amp;y=2</loc><loc>", site, "/index.xml</loc></sitemapindex>"))
+    landed = landed.unionByName(part(1, addr=text(site, "/a.xml?x=1&y=2"), body=text("<urlset><loc> ", site, "/1?a&amp;b </loc><LOC>no</LOC></urlset>")))
+    landed = landed.unionByName(part(3, addr=text(site, "/sitemap.xml"), body=text("<urlset><loc>", site, "/usual</loc></urlset>")))
+    return {
+        "sites": rows.select(site.alias("site")),
+        "llms": part(0, body=text("# x\n- [a](", site, "/a?x=1&amp;y=2)\n- [m](mailto:b)")).unionByName(part(4, body=text(" <html>[a](", site, "/no)</html>"))),
+        "listed": listed, "landed": landed.select("addr", "body"),
+        "wikis": part(2).unionByName(part(1)), "submitted": rows.limit(0).select(site.alias("site"), site.alias("sitemap")),
+    }

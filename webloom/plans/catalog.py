@@ -76,7 +76,7 @@ def kept_terms(spark, sf_dir):
 
 @query(sql.postings())
 def postings(spark, sf_dir):
-    return _index(spark, sf_dir).postings
+    return _index(spark, sf_dir).postings.select("term", "doc_id", "tf")
 
 
 @query(sql.doc_lengths())
@@ -194,7 +194,7 @@ def same_site(spark, sf_dir):
 
 @query(sql.query_shapes())
 def query_shape_dedup(spark, sf_dir):
-    marked = frontier.mark_repeated_shapes(cases.shape_pages(spark), "pos")
+    marked = frontier.mark_repeated_shapes(cases.shape_pages(table(spark, sf_dir, "pages")), "pos")
     return marked.select("pos", "shape", "repeated")
 
 
@@ -226,13 +226,13 @@ def first_pages(spark, sf_dir):
 @query(sql.recrawl_due())
 def recrawl_due(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    now = F.lit("2024-01-20 00:00:00").cast("timestamp")
-    return ingest.recrawl_due(events.where("ts < '2024-01-20'"), "user_id", "ts", now, seconds=6 * 3600).select("user_id", F.unix_timestamp("last").alias("last"))
+    now = F.lit("2024-01-31 00:00:00").cast("timestamp")
+    return ingest.recrawl_due(events, "user_id", "ts", now, seconds=6 * 3600).select("user_id", F.unix_timestamp("last").alias("last"))
 
 
 @query(sql.seeds_normalised())
 def seeds_normalised(spark, sf_dir):
-    return lists.seeds(lists.list_lines(cases.seed_lines(spark)), F.lit(0)).select("site", "sitemap")
+    return lists.seeds(lists.list_lines(cases.seed_lines(table(spark, sf_dir, "supplier"))), F.lit(0)).select("site", "sitemap")
 
 
 @query(sql.last_done())
@@ -265,13 +265,7 @@ def stored_pages(spark, sf_dir):
 
 @query(sql.discover())
 def discover(spark, sf_dir):
-    def rows(values, schema):
-        return spark.createDataFrame(values, schema)
-
-    return responses.discover(
-        rows([(s,) for s in cases.SITES], "site string"), rows(cases.LLMS, "site string, body string"), rows(cases.LISTED, "site string, pos int, sitemap string"),
-        rows(cases.LANDED, "addr string, body string"), rows(cases.WIKIS, "site string"), rows(cases.SUBMITTED, "site string, sitemap string"),
-    )
+    return responses.discover(**cases.discovery(table(spark, sf_dir, "supplier")))
 
 
 @query(sql.community_pages())
@@ -318,7 +312,7 @@ def site_names(spark, sf_dir):
 
 @query(sql.robots_sitemaps())
 def robots_sitemaps(spark, sf_dir):
-    return robots.sitemaps(cases.robots_files(spark)).select("site", "sitemap")
+    return robots.sitemaps(_robots_files(spark, sf_dir)).select("site", "sitemap")
 
 
 @query(sql.german_frontier())
@@ -378,14 +372,18 @@ def lang_german_url(spark, sf_dir):
 # Robots, sitemaps, HTML
 
 
+def _robots_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cases.robots_files(table(spark, sf_dir, "supplier"))
+
+
 @query(sql.robots_rules())
 def robots_rules(spark, sf_dir):
-    return robots.robots_rules(cases.robots_files(spark), cases.AGENT)[0]
+    return robots.robots_rules(_robots_files(spark, sf_dir), cases.AGENT)[0]
 
 
 @query(sql.robots_allowed())
 def robots_allowed(spark, sf_dir):
-    return robots.robots_allowed(cases.robots_paths(spark), *robots.robots_rules(cases.robots_files(spark), cases.AGENT))
+    return robots.robots_allowed(cases.robots_paths(table(spark, sf_dir, "supplier")), *robots.robots_rules(_robots_files(spark, sf_dir), cases.AGENT))
 
 
 @query(sql.sitemap_locs())
@@ -396,12 +394,12 @@ def sitemap_locs(spark, sf_dir):
     return pages.select("page_id", F.explode(lists.sitemap_locs(body)).alias("loc"), report["total"].alias("total"))
 
 
-@query()
+@query(sql.html_fields())
 def html_fields(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", html.html_fields(F.col("html")).alias("f")).select("page_id", "f.title", "f.description", "f.text")
 
 
-@query()
+@query(sql.html_links())
 def html_links(spark, sf_dir):
     found = table(spark, sf_dir, "pages").select("page_id", "url", html.html_fields(F.col("html"))["links"].alias("links"))
     return found.select("page_id", F.posexplode(html.resolved_links(F.col("url"), F.col("links"))).alias("pos", "link"))
@@ -440,12 +438,14 @@ def browser_weight(spark, sf_dir):
 
 @query(sql.measured_pages())
 def measured_pages(spark, sf_dir):
-    """Weight and cost of every page with linked files written into it; one of them has no size, one is named twice."""
+    """Weight and cost of every page with linked files written into it, and of a twin of equal size on its host; one file has no size, one is named twice."""
     pages, number = table(spark, sf_dir, "pages"), F.col("page_id").cast("string")
     linked = F.concat("html", F.lit('<img src="/p'), number, F.lit('.png"><link href="/a.css"><script src="https://cdn.example/x.js"></script><img src="/p'), number, F.lit('.png">'))
     own = pages.select(F.concat(F.regexp_extract("url", "^([a-z]+://[^/?#]+)", 1), F.lit("/p"), number, F.lit(".png")).alias("url"), (F.col("page_id") * 10).alias("bytes"))
     sizes = own.unionByName(spark.createDataFrame([("https://cdn.example/x.js", 5000)], "url string, bytes bigint"))
-    return reports.measure_pages(pages.select(number.alias("host"), "url", linked.alias("html")), sizes, 0.085, 1000)
+    front = pages.select(number.alias("host"), F.regexp_replace("url", "[?#].*$", "").alias("url"), linked.alias("html"))
+    both = front.unionByName(front.withColumn("url", F.concat("url", F.lit("?twin"))))
+    return reports.measure_pages(both, sizes, 0.085, 1000)
 
 
 @query(sql.cost_report())
@@ -473,24 +473,27 @@ def flagged_totals(spark, sf_dir):
 @query(sql.labels())
 def labels(spark, sf_dir):
     docs, words = table(spark, sf_dir, "documents"), F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", text.short(words, 30).alias("short"), text.escape_html(F.substring(words, 1, 200)).alias("escaped"), urls.count_label(F.col("n_chars")).alias("label"))
+    return docs.select("doc_id", text.short(words, 30).alias("short"), text.escape_html(words).alias("escaped"), urls.count_label(F.col("n_chars")).alias("label"), urls.count_label(F.col("n_chars"), 99).alias("label99"))
 
 
 # Codecs and streaming
 
 
-@query()
+@query(sql.pack_roundtrip())
 def pack_roundtrip(spark, sf_dir):
-    pages = _pages(spark, sf_dir).select("doc_id", "text", codec.packed_text(F.col("text")).alias("packed"))
-    return pages.select("doc_id", F.length("packed").alias("n_packed"), (codec.unpacked_text(F.col("packed")) == F.col("text")).alias("same"))
+    """Texts packed and unpacked again, every second one with a preset dictionary."""
+    pages, shared = _pages(spark, sf_dir).select("doc_id", "text"), b"the of and to in that is was he for it with as his on be at by"
+    plain = pages.where("doc_id % 2 = 0").select("doc_id", codec.unpacked_text(codec.packed_text(F.col("text"))).alias("text"))
+    preset = pages.where("doc_id % 2 <> 0").select("doc_id", codec.unpacked_text(codec.packed_text(F.col("text"), shared), shared).alias("text"))
+    return plain.unionByName(preset)
 
 
-@query()
+@query(sql.postings())
 def postings_roundtrip(spark, sf_dir):
-    packed = index.packed_lists(_index(spark, sf_dir)).select("term", "df", "pairs", codec.packed_postings(F.col("pairs")).alias("packed"))
-    back = codec.unpacked_postings(F.col("packed"))
-    same = F.to_json(back) == F.to_json(F.transform("pairs", lambda p: F.struct(p["doc_id"].cast("bigint").alias("doc_id"), p["tf"].cast("bigint").alias("tf"))))
-    return packed.select("term", "df", F.length("packed").alias("n_packed"), same.alias("same"))
+    """Posting lists packed and unpacked again."""
+    packed = index.packed_lists(_index(spark, sf_dir)).select("term", codec.packed_postings(F.col("pairs")).alias("packed"))
+    back = packed.select("term", F.explode(codec.unpacked_postings(F.col("packed"))).alias("p"))
+    return back.select("term", "p.doc_id", F.col("p.tf").cast("int").alias("tf"))
 
 
 @query(sql.host_counts())
@@ -511,3 +514,105 @@ def compacted_terms(spark, sf_dir):
     for part in range(3):
         ingest.commit_batch(_pages(spark, sf_dir).where(F.col("doc_id") % 3 == part).drop("doc_id"), part, f"{base}/index", ["url"])
     return ingest.compact(spark, f"{base}/index", f"{base}/whole").terms
+
+
+# What clients and tools are shown
+
+
+@query(sql.search_results("de la", 5, 10))
+def search_results(spark, sf_dir):
+    return search.search_results(_stored_index(spark, sf_dir), "de la", first=5, many=10)
+
+
+@query(sql.site_info(cases.SITE))
+def site_info(spark, sf_dir):
+    return search.site_info(_stored_index(spark, sf_dir), cases.SITE)
+
+
+@query(sql.odd_addresses())
+def odd_addresses(spark, sf_dir):
+    """Addresses with signs that are not escaped, with users and ports, and damaged ones."""
+    base, number = F.regexp_replace("url", "[?#].*$", ""), (F.col("page_id") % 8).cast("int")
+    kinds = F.array(*(F.concat(base, F.lit(tail)) for tail in ("?q=a|b", "/a b", "/a^b", "?q={x}#f", "/%zz", "/\t", "?q=%zz")), F.regexp_replace(base, "://", "://me:pw@"))
+    u = F.get(kinds, number)
+    return table(spark, sf_dir, "pages").select("page_id", u.alias("url"), urls.host_port(u).alias("host"), urls.request_uri(u).alias("request_uri"), urls.site_of(u).alias("site"))
+
+
+@query(sql.measured_sites())
+def measured_sites(spark, sf_dir):
+    """Customers as measured sites, each third with an error; their orders as page counts."""
+    number = F.col("c_custkey")
+    measured = table(spark, sf_dir, "customer").select(number.alias("host"), F.when(number % 3 == 0, F.concat(F.lit("no answer "), number.cast("string"))).when(number % 3 == 1, "").alias("error"))
+    counts = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("host")).agg(F.count("*").alias("pages"))
+    fine, failed = reports.measured_sites(measured, counts)
+    return fine.select("host", "pages_indexed", F.lit("ok").alias("list")).unionByName(failed.select("host", "pages_indexed", F.lit("unreachable").alias("list")))
+
+
+@query(sql.crawl_counters())
+def crawl_counters(spark, sf_dir):
+    kinds = F.array(*map(F.lit, (*reports.COUNTED, "other")))
+    log = table(spark, sf_dir, "events").select("ts", F.get(kinds, (F.col("event_id") % 9).cast("int")).alias("kind"))
+    return reports.crawl_counters(log, seconds=3600).withColumn("window_start", F.unix_timestamp("window_start"))
+
+
+@query(sql.wiki_info())
+def wiki_info(spark, sf_dir):
+    """Two landed probes a site: some are no wikis, some name no path, some answer without extract."""
+    key = F.col("s_suppkey")
+    site = F.concat(F.lit("https://s"), key.cast("string"), F.lit(".example"))
+
+    def probe(nth: int, path: str, named, held) -> DataFrame:
+        info = F.when(named, F.concat(F.lit('{"query":{"general":{"mainpage":"Main","articlepath":"/wiki'), F.lit(str(nth)), F.lit('/$1"}}}'))).otherwise('{"query":{"general":{}}}')
+        return table(spark, sf_dir, "supplier").select(site.alias("site"), F.lit(nth).alias("nth"), F.lit(path).alias("path"), info.alias("info"), F.when(held, '{"extract":"x"}').otherwise("<html>").alias("extract"))
+
+    return lists.wiki_info(probe(0, "/w/api.php", key % 2 == 0, key % 3 == 0).unionByName(probe(1, "/api.php", key % 5 == 0, F.lit(True))))
+
+
+@query(sql.wait_seconds())
+def wait_seconds(spark, sf_dir):
+    """Answers that ask for seconds, for a date, for neither."""
+    now, ahead = F.lit(cases.NOW).cast("bigint"), F.col("event_id") % 900 - 100
+    date = F.concat(F.lit("Mon, "), F.date_format(F.timestamp_seconds(now + ahead), "dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
+    asked = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(" "), ahead.cast("string"))).when(F.col("event_id") % 3 == 1, date).otherwise("soon")
+    return table(spark, sf_dir, "events").select("event_id", lists.wait_seconds(asked, now, F.lit(30).cast("bigint")).alias("wait"))
+
+
+@query(sql.flagged_failures())
+def flagged_failures(spark, sf_dir):
+    """The totals' row with its failures: nations as hosts that gave an error."""
+    flagged = reports.flagged_hosts(table(spark, sf_dir, "events"), "user_id", "event_id", F.col("event_type") == "error", share=0.25)
+    failed = table(spark, sf_dir, "nation").select(F.col("n_name").alias("host"), F.repeat("n_name", 20).alias("message"))
+    return reports.flagged_totals(flagged, failed).select("hosts", "flagged_hosts", F.to_json("failed").alias("failed"))
+
+
+def _committed(spark: SparkSession, sf_dir: str, base: str, parts: int) -> None:
+    for part in range(parts):
+        ingest.commit_batch(_pages(spark, sf_dir).where(F.col("doc_id") % parts == part).drop("doc_id"), part, base, ["url"])
+
+
+@query(sql.compacted_terms())
+def merged_terms(spark, sf_dir):
+    """Five segments of pages, four of which are merged; the terms of what readers see."""
+    base = scratch_path(spark, "merge")
+    _committed(spark, sf_dir, base, 5)
+    while ingest.merge_once(spark, base):
+        pass
+    return ingest.read_index(spark, base).terms
+
+
+@query(sql.latest_versions())
+def latest_versions(spark, sf_dir):
+    """All pages, then every third again with another title: what readers see."""
+    base, pages = scratch_path(spark, "versions"), _pages(spark, sf_dir).where("doc_id is not null")
+    ingest.commit_batch(pages.drop("doc_id"), 0, base, ["url"], replace=True)
+    ingest.commit_batch(pages.where("doc_id % 3 = 0").withColumn("title", F.lit("Newer title")).drop("doc_id"), 1, base, ["url"], replace=True)
+    return ingest.read_index(spark, base).docs.select("url", "title", "dl")
+
+
+@query(sql.send_batches())
+def send_batches(spark, sf_dir):
+    """Pages of four senders, half a second apart; every seventh comes four seconds late."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", (F.col("page_id") % 4).alias("sender"), F.floor(F.col("page_id") / 4).alias("nth"))
+    late = F.col("nth") * 0.01 + F.floor(F.col("nth") / 30) * 4
+    timed = pages.select("page_id", "sender", "nth", late.alias("at"), "url", F.lit(None).cast("string").alias("title"), F.lit("d").alias("description"), F.repeat(F.lit("x"), F.lit(90_000)).alias("text"))
+    return ingest.send_batches(timed, "sender", "nth", "at").select("page_id", "sender", "batch_no")

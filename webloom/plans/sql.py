@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from webloom.functions.lang import ENGLISH_WORDS, FOREIGN_DOMAINS, GERMAN_DOMAINS, GERMAN_SEGMENTS, GERMAN_WORDS
 from webloom.functions.text import STOP_WORDS
-from webloom.operators.search import parse_query
 from webloom.plans import cases
 
 
@@ -85,9 +84,11 @@ def segment_levels() -> str:
 
 
 def search(text: str) -> str:
-    asked = parse_query(text)
+    site_ = next((w[5:].removeprefix("www.") for w in reversed(text.split()) if w.startswith("site:")), "")
+    said = " ".join(w for w in text.split() if not w.startswith("site:"))
     more = f""",
-asked_ AS (SELECT * FROM (VALUES {_values([(w,) for w in asked.words])}) v(word)),
+said_ AS (SELECT DISTINCT unnest(regexp_extract_all(lower('{said}'), '[\\p{{L}}\\p{{N}}]+')) AS word),
+asked_ AS (SELECT word FROM said_ WHERE word NOT IN {_list(STOP_WORDS)} OR NOT EXISTS (SELECT 1 FROM said_ WHERE word NOT IN {_list(STOP_WORDS)})),
 exact_ AS (SELECT word, coalesce(df, 0) AS df FROM asked_ LEFT JOIN terms_ ON term = word),
 near_ AS (SELECT word, term, t.df, row_number() OVER (PARTITION BY word ORDER BY term) AS nth FROM exact_ e JOIN terms_ t ON starts_with(term, word) WHERE e.df < 20 AND strlen(word) >= 3),
 grown_ AS (SELECT word, term, df FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY df DESC, term) AS k FROM near_ WHERE nth <= 100) WHERE k <= 8),
@@ -98,8 +99,8 @@ n_ AS (SELECT count(DISTINCT word) AS n FROM groups_),
 sums_ AS (SELECT doc_id, sum(score) AS score, count(*) AS m FROM scores_ GROUP BY ALL),
 few_ AS (SELECT count(*) < 10 AND (SELECT n FROM n_) > 1 AS few FROM sums_ WHERE m = (SELECT n FROM n_)),
 ranked_ AS (SELECT doc_id, round(CASE WHEN few THEN score * (m / n) * (m / n) ELSE score END, 6) AS score FROM sums_ CROSS JOIN n_ CROSS JOIN few_ WHERE few OR m = n),
-best_ AS (SELECT * FROM ranked_ ORDER BY score DESC, doc_id LIMIT {2000 if asked.site else 300})"""
-    site = f"WHERE regexp_replace(host, '^www\\.', '') = '{asked.site}' OR ends_with(host, '.{asked.site}')" if asked.site else ""
+best_ AS (SELECT * FROM ranked_ ORDER BY score DESC, doc_id LIMIT {2000 if site_ else 300})"""
+    site = f"WHERE regexp_replace(host, '^www\\.', '') = '{site_}' OR ends_with(host, '.{site_}')" if site_ else ""
     return _on_index(f"SELECT doc_id, score, host FROM best_ JOIN docs_ USING (doc_id) {site} ORDER BY score DESC, doc_id LIMIT 300", more)
 
 
@@ -178,7 +179,8 @@ def same_site() -> str:
 
 
 def query_shapes() -> str:
-    return f"SELECT * FROM (VALUES {_values(cases.SHAPE_RESULTS)}) v(pos, shape, repeated)"
+    shape = "CASE WHEN page_id % 4 < 3 THEN 'h' || page_id % 7 || '.example/p' || page_id % 3 || CASE WHEN page_id % 4 < 2 THEN '?a&b' ELSE '?a' END END"
+    return f"SELECT pos, shape, shape IS NOT NULL AND row_number() OVER (PARTITION BY shape ORDER BY pos) > 1 AS repeated FROM (SELECT page_id AS pos, {shape} AS shape FROM pages)"
 
 
 def not_sent() -> str:
@@ -202,11 +204,13 @@ def first_pages() -> str:
 
 
 def recrawl_due() -> str:
-    return "SELECT user_id, last FROM (SELECT user_id, floor(epoch(max(ts)))::BIGINT AS last FROM events WHERE ts < '2024-01-20' GROUP BY ALL) WHERE epoch(TIMESTAMP '2024-01-20') - last > 21600"
+    return "SELECT user_id, last FROM (SELECT user_id, floor(epoch(max(ts)))::BIGINT AS last FROM events GROUP BY ALL) WHERE epoch(TIMESTAMP '2024-01-31') - last > 21600"
 
 
 def seeds_normalised() -> str:
-    return f"SELECT * FROM (VALUES {_values(cases.SEED_RESULTS)}) v(site, sitemap)"
+    kinds = ("'https://one' || k || '.example', ''", "'http://one' || (k - 1) || '.example', ''", "'https://one' || k || '.example', 'https://one' || k || '.example/map.xml'")
+    rows = " UNION ALL ".join(f"SELECT {kind} FROM s WHERE k % 5 = {n + 2}" for n, kind in enumerate(kinds))
+    return f"WITH s AS (SELECT s_suppkey AS k FROM supplier), r(site, sitemap) AS ({rows}) SELECT DISTINCT site, sitemap FROM r"
 
 
 def last_done() -> str:
@@ -235,13 +239,31 @@ def lang_german_url() -> str:
     return rf"SELECT page_id, ({domain} OR regexp_matches(h, '^(www\.)?de\.') OR lower(string_split(ltrim(p, '/'), '/')[1]) IN {_list(GERMAN_SEGMENTS)}) AS german FROM (SELECT page_id, lower({HOST_NAME}) AS h, {PATH} AS p FROM pages)"
 
 
+def _robots() -> str:
+    bodies = " ".join("WHEN {} THEN {}".format(n, " || chr(10) || ".join("'" + line.replace("{k}", "' || k || '") + "'" for line in body.split("\n"))) for n, body in enumerate(cases.ROBOTS))
+    return f"""files_ AS (SELECT 's' || k || '.example' AS site, k, CASE k % 4 {bodies} END AS body FROM (SELECT s_suppkey AS k FROM supplier)),
+split_ AS (SELECT site, unnest(range(len(ls))) AS pos, unnest(ls) AS l FROM (SELECT site, list_transform(string_split(body, chr(10)), lambda l: trim(regexp_replace(l, '#.*$', ''))) AS ls FROM files_)),
+told_ AS (SELECT site, pos, lower(trim(split_part(l, ':', 1))) AS key, trim(substr(l, instr(l, ':') + 1)) AS value FROM split_ WHERE contains(l, ':')),
+marked_ AS (SELECT *, CASE WHEN key = 'user-agent' AND coalesce(lag(key) OVER (PARTITION BY site ORDER BY pos), '') <> 'user-agent' THEN 1 ELSE 0 END AS opens FROM told_ WHERE key IN ('user-agent', 'allow', 'disallow')),
+grouped_ AS (SELECT *, sum(opens) OVER (PARTITION BY site ORDER BY pos) AS g FROM marked_),
+agents_ AS (SELECT site, g, pos, value = '*' AS everyone FROM grouped_ WHERE key = 'user-agent' AND (value = '*' OR contains('{cases.AGENT.lower()}', lower(value)) AND value <> '')),
+ours_ AS (SELECT DISTINCT site FROM agents_ WHERE NOT everyone),
+rules_ AS (SELECT r.site, r.key = 'allow' AS allow, r.value AS pat FROM grouped_ r JOIN agents_ a ON a.site = r.site AND a.g = r.g AND a.pos < r.pos
+  WHERE r.key <> 'user-agent' AND a.everyone = (r.site NOT IN (SELECT site FROM ours_)))"""
+
+
 def robots_rules() -> str:
-    return f"SELECT * FROM (VALUES {_values(cases.RULES)}) v(site, allow, pat)"
+    return f"WITH {_robots()} SELECT site, allow, pat FROM rules_"
 
 
 def robots_allowed() -> str:
-    rows = [(site, path, (site, path) not in cases.DENIED) for site in cases.ROBOTS for path in cases.PATHS]
-    return f"SELECT * FROM (VALUES {_values(rows)}) v(site, path, allowed)"
+    paths = ", ".join(f"('{p}')" for p in cases.PATHS)
+    regex = r"""'(?s)^' || regexp_replace(regexp_replace(regexp_replace(pat, '\$$', ''), '([\\.\[\]{}()+?^$|])', '\\\1', 'g'), '[*]+', '.*', 'g') || CASE WHEN ends_with(pat, '$') THEN '$' ELSE '' END"""
+    return f"""WITH {_robots()},
+usable_ AS (SELECT DISTINCT site, allow, pat, {regex} AS re FROM rules_ WHERE pat <> '' AND len(pat) - len(replace(pat, '*', '')) <= 5),
+asked_ AS (SELECT site, path FROM files_ CROSS JOIN (VALUES {paths}) p(path)),
+hit_ AS (SELECT site, path, allow, row_number() OVER (PARTITION BY site, path ORDER BY strlen(pat) DESC, allow DESC) AS nth FROM asked_ JOIN usable_ USING (site) WHERE regexp_matches(path, re))
+SELECT a.site, a.path, coalesce(allow, true) AND k % 4 <> 2 AS allowed FROM asked_ a JOIN files_ USING (site) LEFT JOIN (SELECT * FROM hit_ WHERE nth = 1) h ON h.site = a.site AND h.path = a.path"""
 
 
 def sitemap_locs() -> str:
@@ -281,7 +303,9 @@ def stored_pages() -> str:
 
 
 def discover() -> str:
-    return f"SELECT * FROM (VALUES {_values(cases.DISCOVERED)}) v(site, method, url)"
+    way = "['llms.txt', 'sitemap', 'mediawiki', 'sitemap', 'html'][k % 5 + 1]"
+    url = "CASE k % 5 WHEN 0 THEN site || '/a?x=1&y=2' WHEN 1 THEN site || '/1?a&amp;b' WHEN 3 THEN site || '/usual' WHEN 4 THEN site || '/' END"
+    return f"SELECT site, {way} AS method, {url} AS url FROM (SELECT s_suppkey AS k, 'https://s' || s_suppkey || '.example' AS site FROM supplier)"
 
 
 def community_pages() -> str:
@@ -312,7 +336,7 @@ def site_names() -> str:
 
 
 def robots_sitemaps() -> str:
-    return "SELECT 'https://a.example/sitemap.xml' AS sitemap, 'a.example' AS site"
+    return "SELECT 's' || s_suppkey || '.example' AS site, 'https://s' || s_suppkey || '.example/m.xml' AS sitemap FROM supplier WHERE s_suppkey % 4 = 0"
 
 
 def german_frontier() -> str:
@@ -344,7 +368,7 @@ def _usd(bytes_: str, times: int) -> str:
 
 def measured_pages() -> str:
     html = """html || '<img src="/p' || page_id || '.png"><link href="/a.css"><script src="https://cdn.example/x.js"></script><img src="/p' || page_id || '.png">'"""
-    pages = f"SELECT page_id::VARCHAR AS host, strlen({html})::BIGINT AS html_bytes, 1 + (page_id > 0)::BIGINT AS assets, strlen({html}) + 5000 + page_id * 10 AS bytes_per_visit FROM pages"
+    pages = f"SELECT page_id::VARCHAR AS host, regexp_replace(url, '[?#].*$', '') || twin AS page, strlen({html})::BIGINT AS html_bytes, 1 + (page_id > 0)::BIGINT AS assets, strlen({html}) + 5000 + page_id * 10 AS bytes_per_visit FROM pages CROSS JOIN (VALUES (''), ('?twin')) t(twin)"
     return f"SELECT *, {_usd('bytes_per_visit', 1000)} AS usd_per_1000_visits, {_usd('bytes_per_visit', 1000)} AS usd_per_hour, {_usd('bytes_per_visit', 10000)} AS usd_per_10_hours FROM ({pages})"
 
 
@@ -364,9 +388,95 @@ def flagged_totals(share: float) -> str:
 
 def labels() -> str:
     short = "CASE WHEN length(trim(text)) > 30 THEN left(trim(text), 30) || '…' ELSE trim(text) END"
-    escaped = """replace(replace(replace(replace(left(text, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')"""
-    return f"SELECT doc_id, {short} AS short, {escaped} AS escaped, CASE WHEN n_chars >= 100 THEN '100+' ELSE n_chars::VARCHAR END AS label FROM documents"
+    escaped = """replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')"""
+    return f"SELECT doc_id, {short} AS short, {escaped} AS escaped, CASE WHEN n_chars >= 100 THEN '100+' ELSE n_chars::VARCHAR END AS label, CASE WHEN n_chars >= 99 THEN '99+' ELSE n_chars::VARCHAR END AS label99 FROM documents"
 
 
 def compacted_terms() -> str:
     return _on_index("SELECT term, count(*) AS df FROM postings_ JOIN docs_ USING (doc_id) GROUP BY term")
+
+
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "''", "&copy;": "©", "&middot;": "·", "&nbsp;": " ", "&amp;": "&"}
+BLOCKS = "p|div|br|li|tr|td|th|h1|h2|h3|h4|h5|h6|section|article|ul|ol|table|dd|dt|blockquote|pre|form|main"
+
+
+def _unescaped(x: str) -> str:
+    for name, sign in ENTITIES.items():
+        x = f"replace({x}, '{name}', '{sign}')"
+    return x
+
+
+def html_fields() -> str:
+    x = "html"
+    for pattern, by in (("<!--.*?-->", ""), ("<head.*?</head>", ""), ("<script.*?</script>|<style.*?</style>", ""), ("<(nav|header|footer|aside)[^>]*>.*?</(nav|header|footer|aside)>", ""), (f"</?({BLOCKS})(\\s[^>]*)?/?>", " "), ("</?[a-z0-9:_-]+[^>]*>", "")):
+        x = f"regexp_replace({x}, '(?is){pattern}', '{by}', 'g')"
+    title = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
+    tidy = [f"left(trim(regexp_replace({_unescaped(y)}, '{SPACE}', ' ', 'g')), {most})" for y, most in ((title, 200), (x, 2000))]
+    return f"SELECT page_id, {tidy[0]} AS title, '' AS description, {tidy[1]} AS text FROM pages"
+
+
+def html_links() -> str:
+    link = f"CASE WHEN starts_with(l, '/') THEN regexp_extract(url, '^[a-z]+://[^/?#]*') || l ELSE l END"
+    found = f"SELECT page_id, url, list_transform(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->', '', 'g'), '(?i)<a\\s[^>]*href=\"([^\"]*)\"', 1), lambda x: regexp_replace({_unescaped('x')}, '#.*$', '')) AS ls FROM pages"
+    return f"SELECT page_id, pos::INT AS pos, {link} AS link FROM (SELECT page_id, url, unnest(range(len(ls))) AS pos, unnest(ls) AS l FROM ({found}))"
+
+
+def pack_roundtrip() -> str:
+    return f"WITH {PAGES} SELECT doc_id, text FROM pages_"
+
+
+def search_results(text: str, first: int, many: int) -> str:
+    whole = search(text)
+    cut = whole.index("SELECT doc_id, score, host FROM best_")
+    ranked = f"SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS total FROM ({whole[cut:]})"
+    return f"{whole[:cut]} SELECT rank::INT AS rank, url, title, d.host, score, total FROM ({ranked}) r JOIN docs_ d USING (doc_id) WHERE rank > {first} AND rank <= {first + many}"
+
+
+def site_info(site: str) -> str:
+    n = f"(SELECT least(100, count(*)) AS n FROM documents WHERE source || '.example.org' = '{site}' OR ends_with(source || '.example.org', '.{site}'))"
+    return f"SELECT '{site}' AS site, n AS total, CASE WHEN n >= 100 THEN '100+' ELSE n::VARCHAR END AS label, n > 0 AS indexed FROM {n}"
+
+
+def odd_addresses() -> str:
+    base = "regexp_replace(url, '[?#].*$', '')"
+    tails = ["'?q=a|b'", "'/a b'", "'/a^b'", "'?q={x}#f'", "'/%zz'", "'/' || chr(9)", "'?q=%zz'"]
+    url = f"CASE page_id % 8 {' '.join(f'WHEN {n} THEN {base} || {tail}' for n, tail in enumerate(tails))} ELSE replace({base}, '://', '://me:pw@') END"
+    path = f"(CASE WHEN {PATH.replace('url', 'plain')} = '' AND k NOT IN (1, 2) THEN '/' ELSE {PATH.replace('url', 'plain')} END)"
+    uri = f"{path} || CASE k {' '.join(f'WHEN {n} THEN {tail}' for n, tail in ((0, tails[0]), (1, tails[1]), (2, tails[2]), (3, repr('?q={x}')), (6, tails[6])))} ELSE '' END"
+    host = AUTHORITY.replace("url", "plain")
+    site = f"regexp_replace(lower(regexp_replace({host}, ':[0-9]*$', '')), '^www\\.', '')"
+    fine = "k NOT IN (4, 5)"
+    return f"SELECT page_id, {url} AS url, CASE WHEN {fine} THEN {host} END AS host, CASE WHEN {fine} THEN {uri} ELSE '/' END AS request_uri, CASE WHEN {fine} THEN {site} END AS site FROM (SELECT page_id, url, {base} AS plain, page_id % 8 AS k FROM pages)"
+
+
+def measured_sites() -> str:
+    return "SELECT c_custkey AS host, coalesce(pages, 0) AS pages_indexed, CASE WHEN c_custkey % 3 = 0 THEN 'unreachable' ELSE 'ok' END AS list FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS pages FROM orders GROUP BY ALL) ON o_custkey = c_custkey"
+
+
+def crawl_counters() -> str:
+    names = ("emitted", "sent", "failed", "errors", "skipped", "sites_started", "sites_done", "foreign")
+    sums = ", ".join(f"sum(count(*) FILTER (event_id % 9 = {n})) OVER (ORDER BY w)::BIGINT AS {name}" for n, name in enumerate(names))
+    return f"SELECT w AS window_start, {sums}, count(*) FILTER (event_id % 9 = 0) / 3600 AS pages_per_second FROM (SELECT event_id, floor(epoch(ts))::BIGINT // 3600 * 3600 AS w FROM events WHERE event_id % 9 < 8) GROUP BY w"
+
+
+def wiki_info() -> str:
+    return "SELECT site, CASE WHEN a THEN site || '/w/api.php' ELSE site || '/api.php' END AS api, CASE WHEN a THEN '/wiki0/$1' ELSE '/wiki1/$1' END AS article_path FROM (SELECT 'https://s' || s_suppkey || '.example' AS site, s_suppkey % 6 = 0 AS a, s_suppkey % 5 = 0 AS b FROM supplier) WHERE a OR b"
+
+
+def wait_seconds() -> str:
+    return "SELECT event_id, CASE WHEN event_id % 3 = 0 AND n > 0 THEN least(n, 600) WHEN event_id % 3 = 1 AND n > 0 AND n < 600 THEN n ELSE 30 END::BIGINT AS wait FROM (SELECT event_id, event_id % 900 - 100 AS n FROM events)"
+
+
+def flagged_failures() -> str:
+    told = "(SELECT '{' || string_agg('\"' || n_name || '\":\"' || left(repeat(n_name, 20), 60) || '\"', ',' ORDER BY n_name) || '}' FROM nation)"
+    return f"SELECT count(*) AS hosts, count(*) FILTER (is_flagged) AS flagged_hosts, {told} AS failed FROM ({flagged_ratio(0.25)})"
+
+
+def latest_versions() -> str:
+    newer = f"len({_kept(chr(39) + 'Newer title' + chr(39))})"
+    return _on_index(f"SELECT url, CASE WHEN doc_id % 3 = 0 THEN 'Newer title' ELSE title END AS title, (CASE WHEN doc_id % 3 = 0 THEN 3 * {newer} + dl - 3 * old ELSE dl END)::INT AS dl FROM docs_ JOIN (SELECT doc_id, len({_kept('title')}) AS old FROM pages_) USING (doc_id)")
+
+
+def send_batches() -> str:
+    """Thirty pages come before each pause. Batches go by size: 24 pages of 90,000 bytes exceed two MiB, the other six go at the pause."""
+    return "SELECT page_id, page_id % 4 AS sender, ((nth // 30) * 2 + CASE WHEN nth % 30 >= 24 THEN 1 ELSE 0 END)::INT AS batch_no FROM (SELECT page_id, (page_id // 4)::BIGINT AS nth FROM pages)"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions.html import unescape_each
 from webloom.functions.text import clip, collapse
-from webloom.functions.urls import wiki_address
+from webloom.functions.urls import host_port, scheme, wiki_address
 
 PAGE = "url STRING, title STRING, description STRING, text STRING, source STRING"
 STORED_PAGE = "u STRING, t STRING, d STRING, x STRING, z STRING"
@@ -48,8 +48,7 @@ def seeds(lines: DataFrame, order: Column) -> DataFrame:
     """(site, sitemap): scheme and host of each seed line, with the owner's sitemap if it is an address. The first of equal pairs by `order` counts."""
     address, sitemap = F.get(F.split("value", "\t", 2), F.lit(0)), F.trim(F.get(F.split("value", "\t", 2), F.lit(1)))
     whole = F.when(F.trim(address).rlike("^https?://"), F.trim(address)).otherwise(F.concat(F.lit("https://"), F.trim(address)))
-    scheme, host = F.try_parse_url(whole, F.lit("PROTOCOL")), F.try_parse_url(whole, F.lit("AUTHORITY"))
-    kept = lines.select(F.concat(scheme, F.lit("://"), F.regexp_replace(host, "^.*@", "")).alias("site"), F.when(sitemap.rlike("^https?://"), sitemap).otherwise("").alias("sitemap"), order.alias("at"))
+    kept = lines.select(F.concat(scheme(whole), F.lit("://"), host_port(whole)).alias("site"), F.when(sitemap.rlike("^https?://"), sitemap).otherwise("").alias("sitemap"), order.alias("at"))
     return kept.where("site is not null").groupBy("site", "sitemap").agg(F.min("at").alias("at"))
 
 
@@ -143,3 +142,25 @@ def read_site_costs(spark: SparkSession, path: str) -> DataFrame:
 def read_sitemap_scans(spark: SparkSession, path: str) -> DataFrame:
     """Scans of both file generations; what an old one lacks is null."""
     return spark.read.schema(SITEMAP_SCAN).option("multiLine", True).json(path)
+
+
+WIKI_INFO = "query STRUCT<general:STRUCT<mainpage:STRING,articlepath:STRING>>"
+
+
+def wiki_info(answers: DataFrame) -> DataFrame:
+    """(site, api, article_path) of sites whose landed answers(site, nth, path, info, extract) say that they are wikis: of each site the
+    first path, by nth, whose info names the articles' path and whose extract answer holds an extract."""
+    told = answers.withColumn("article_path", F.from_json("info", WIKI_INFO)["query"]["general"]["articlepath"])
+    kept = told.where((F.coalesce("article_path", F.lit("")) != "") & F.coalesce(F.col("extract").contains('"extract"'), F.lit(False)))
+    return kept.groupBy("site").agg(F.min_by(F.struct(F.concat("site", "path").alias("api"), "article_path"), "nth").alias("best")).select("site", "best.api", "best.article_path")
+
+
+#: Longest wait that an answer may ask for, in seconds.
+LONGEST_WAIT = 600
+
+
+def wait_seconds(asked: Column, now: Column, default: Column) -> Column:
+    """How long to wait after an answer with this Retry-After: its seconds up to LONGEST_WAIT, or until its date if that is less than LONGEST_WAIT ahead; else the default."""
+    seconds = F.try_to_number(F.regexp_extract(F.trim(asked), r"^\+?([0-9]{1,18})$", 1), F.lit("9" * 18)).cast("bigint")
+    until = F.unix_timestamp(F.try_to_timestamp(F.regexp_extract(asked, r"^[A-Za-z]{3}, (.*) GMT$", 1), F.lit("dd MMM yyyy HH:mm:ss"))) - now
+    return F.when(seconds > 0, F.least(seconds, F.lit(LONGEST_WAIT))).when((until > 0) & (until < LONGEST_WAIT), until).otherwise(default)

@@ -12,8 +12,8 @@ from webloom.functions.text import is_textual, page_text, page_title
 from webloom.session import materialise
 from webloom.sources.lists import STORED_PAGE, first_found, is_sitemap_index, llms_links, sitemap_locs
 
-#: Sitemaps of a site that are begun with; levels of sitemap indexes that are followed.
-ROOTS, LEVELS = 5, 8
+#: Sitemaps of a site that are begun with.
+ROOTS = 5
 
 
 def _blank(*parts: Column) -> Column:
@@ -37,21 +37,22 @@ def content_pages(responses: DataFrame, method: str = "html") -> DataFrame:
     return pages.where(~_blank(F.col("title"), F.col("text")))
 
 
-def stored_pages(lines: DataFrame, value: str = "value") -> DataFrame:
-    """(url, title, description, text) of stored-page lines. Lines that are no JSON go; so does a page without title and plain text."""
+def stored_pages(lines: DataFrame, value: str = "value", dictionary: bytes = b"") -> DataFrame:
+    """(url, title, description, text) of stored-page lines, on a stream too; `dictionary` is the one that texts were packed with. Lines that are no JSON go; so does a page without title and plain text."""
     row = lines.select(F.from_json(value, STORED_PAGE, {"mode": "PERMISSIVE"}).alias("p")).select("p.*").where("u is not null")
     shown = row.where(~_blank(F.col("t"), F.col("x")))
-    return shown.select(F.col("u").alias("url"), F.coalesce("t", F.lit("")).alias("title"), F.coalesce("d", F.lit("")).alias("description"), stored_text(F.coalesce("x", F.lit("")), F.col("z")).alias("text"))
+    return shown.select(F.col("u").alias("url"), F.coalesce("t", F.lit("")).alias("title"), F.coalesce("d", F.lit("")).alias("description"), stored_text(F.coalesce("x", F.lit("")), F.col("z"), dictionary).alias("text"))
 
 
-def follow_sitemaps(roots: DataFrame, landed: DataFrame, levels: int = LEVELS) -> DataFrame:
+def follow_sitemaps(roots: DataFrame, landed: DataFrame) -> DataFrame:
     """(site, url): page addresses in the sitemaps below roots(site, addr), read from landed(addr, body).
 
-    Each level of indexes is written, and no sitemap of a site is read twice, so indexes that name each other end.
+    Each level of indexes is written, and no sitemap of a site is read twice, so indexes that name each other end; levels are
+    followed until one names nothing new.
     """
     todo = materialise(roots.select("site", "addr").distinct(), "sitemaps")
     done, pages = todo, None
-    for _ in range(levels):
+    while True:
         read = materialise(todo.join(landed, "addr").select("site", is_sitemap_index(F.col("body")).alias("is_index"), F.explode(sitemap_locs(F.col("body"))).alias("loc")), "locs")
         found = read.where("not is_index").select("site", F.col("loc").alias("url"))
         pages = found if pages is None else pages.unionByName(found)
