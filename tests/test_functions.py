@@ -73,3 +73,12 @@ def test_html_fields():
     assert html.page_fields("a<!-- never ends <b>")["text"] == "a" and html.page_fields(None)["text"] == "" and html.page_fields("<p")["text"] == ""
     assert html.page_fields("x <script>never")["text"] == "x"
     assert html.resolve_links("https://a.org/d/p", ["q#f", "/r", "mailto:x", "//b.org/", "http://[bad"]) == ["https://a.org/d/q", "https://a.org/r", "https://b.org/"]
+
+
+def test_package_zip(tmp_path):
+    import zipfile
+
+    from webloom.session import package_zip
+
+    names = zipfile.ZipFile(package_zip(str(tmp_path))).namelist()
+    assert {"webloom/__init__.py", "webloom/session.py", "webloom/functions/text.py"} <= set(names) and all(n.endswith(".py") for n in names)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import os
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,12 +33,14 @@ def build_session(master: str = "local[*]", partitions: int | None = None, **con
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares, from spark.checkpoint.dir; a local one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder the cluster shares, from spark.checkpoint.dir, or the one that the program has set; a local one only where both are
+    unset and the master is local."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         found = LOCAL_CHECKPOINTS
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(found)
+        spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
@@ -56,6 +60,13 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def _drop(spark: SparkSession, table_name: str) -> None:
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {table_name}")
+    except Exception:  # the JVM may be gone at exit
+        pass
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write `df` to the shared folder as Parquet and read it back.
 
@@ -74,11 +85,30 @@ def materialise_buckets(df: DataFrame, name: str, key: str) -> DataFrame:
     table_name = f"webloom_{name}_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.bucketBy(buckets, key).option("path", path).saveAsTable(table_name)
+    atexit.register(_drop, spark, table_name)
     return spark.table(table_name)
 
 
+def package_zip(folder: str) -> str:
+    """This package's modules as a zip file in `folder`."""
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(folder, "webloom.zip")
+    with zipfile.ZipFile(path, "w") as packed:
+        for at, _, names in os.walk(here):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                packed.write(os.path.join(at, name), os.path.join("webloom", os.path.relpath(os.path.join(at, name), here)))
+    return path
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver found it, and bound what they are handed at once."""
+    """Let Python workers import this package, and bound what they are handed at once.
+
+    Executors on the driver's machine find it where the driver did; to others it is sent, once a session. Vocabulary files are
+    parameters: their path has to lead to them on every machine.
+    """
+    if not spark.sparkContext.master.startswith("local") and spark.conf.get("spark.webloom.shipped", "") == "":
+        spark.sparkContext.addPyFile(package_zip(tempfile.mkdtemp()))  # the driver serves the file as long as the session lives
+        spark.conf.set("spark.webloom.shipped", "yes")
     if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > ARROW_BYTES:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
