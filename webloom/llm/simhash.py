@@ -216,7 +216,8 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, text
     verified on whole texts. (1) SimHash fingerprints within NEAR_BITS meet in their balls. Texts of that similarity can be
     ten bits apart, further than balls reach, so the rest meet by a token of their prefixes, which loses none: (2) each
     token's texts are compared with that one of them that meets most others, as the source of many copies does; (3) all
-    that meet and are not in one component yet are compared with each other.
+    that meet and are not in one component yet are compared with each other, but for those that meet too late in their
+    prefixes to share enough of what follows.
     """
     bare = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).select(text_digest("text").alias("digest"), "text")
     common = bare.sparkSession.sparkContext.broadcast(common_shingles(bare, words))
@@ -254,8 +255,12 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, text
         return both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a BINARY, b BINARY, similarity DOUBLE").where(F.col("similarity") >= similarity)
 
     def candidates(met: DataFrame) -> DataFrame:
-        """Distinct pairs (a, b) from columns x, y (structs n, digest) of sizes that allow the similarity; b is a pair's y."""
-        fit = F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9
+        """Distinct pairs (a, b) from columns x, y (structs n, rest, digest) that can have the similarity; b is a pair's y.
+
+        `rest` counts a text's shingles from the one they meet by onwards. At a pair's first common shingle all they share
+        lies in both rests, so a similar pair passes there if nowhere else. Where rest is n, only the sizes are looked at.
+        """
+        fit = (1 + similarity) * F.least("x.rest", "y.rest") >= similarity * (F.col("x.n") + F.col("y.n")) - 1e-6
         pairs = met.where(fit).groupBy(F.least("x.digest", "y.digest").alias("low"), F.greatest("x.digest", "y.digest").alias("high")).agg(F.max("y.digest").alias("b"))
         return pairs.select(F.when(F.col("b") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("a"), "b")
 
@@ -266,26 +271,26 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, text
     printed = materialise(bare.mapInArrow(make, "digest BINARY, n INT, fp BIGINT, tokens ARRAY<BIGINT>, cells BINARY").dropDuplicates(["digest"]), "prefixes")
 
     # Of equal fingerprints each text is compared with the smallest, as is the smallest of a linked fingerprint.
-    text_of = F.struct("n", "digest")
+    text_of = F.struct("n", F.col("n").alias("rest"), "digest")
     firsts = materialise(printed.groupBy("fp").agg(F.min(text_of).alias("y")), "firsts")
     same = printed.join(firsts, "fp").where("digest <> y.digest").select(text_of.alias("x"), "y")
     balls = ball_links(printed, NEAR_BITS).join(firsts.select(F.col("fp").alias("a"), F.col("y").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), "y"), "b")
     near = materialise(candidates(same.unionByName(balls.select("x", "y"))), "near")
 
-    spread = printed.select("digest", "n", F.explode("tokens").alias("token"))
+    spread = printed.select("digest", "n", F.posexplode("tokens").alias("at", "token")).withColumn("rest", F.col("n") - F.col("at")).drop("at")
     met = materialise(spread.withColumn("texts", F.count("*").over(W.partitionBy("token"))).where("texts > 1"), "met")
     weighed = met.join(met.groupBy("digest").agg(F.sum("texts").alias("weight")), "digest")
     hubs = weighed.groupBy("token").agg(F.max(F.struct("weight", "n", "digest")).alias("y"))
-    stars = met.join(hubs, "token").where("digest <> y.digest").select(F.struct("n", "digest").alias("x"), F.struct("y.n", "y.digest").alias("y"))
+    stars = met.join(hubs, "token").where("digest <> y.digest").select(text_of.alias("x"), F.struct("y.n", F.col("y.n").alias("rest"), "y.digest").alias("y"))
     tried = materialise(near.unionByName(without(candidates(stars), near)), "stars")
     links = materialise(verified(tried), "star_links")
 
     roots = components(links)
-    placed = met.join(roots.select(F.col("node").alias("digest"), "root"), "digest", "left").select("token", "n", "digest", F.coalesce("root", "digest").alias("root"))
+    placed = met.join(roots.select(F.col("node").alias("digest"), "root"), "digest", "left").select("token", "n", "rest", "digest", F.coalesce("root", "digest").alias("root"))
     placed = materialise(placed, "placed")
     # Of two components, one is not the token's largest.
     largest = placed.groupBy("token", "root").count().groupBy("token").agg(F.max(F.struct("count", "root")).alias("largest"), F.count("*").alias("roots")).where("roots > 1")
-    within = placed.join(largest, "token").select("token", "root", "largest", F.struct("n", "digest").alias("text"))
+    within = placed.join(largest, "token").select("token", "root", "largest", F.struct("n", "rest", "digest").alias("text"))
     other = within.where("root <> largest.root").select("token", F.col("root").alias("root_x"), F.col("text").alias("x"))
     across = other.join(within.select("token", F.col("root").alias("root_y"), F.col("text").alias("y")), "token").where("root_x <> root_y")
     left = materialise(without(candidates(across), tried), "across")
