@@ -217,7 +217,8 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, text
     ten bits apart, further than balls reach, so the rest meet by a token of their prefixes, which loses none: (2) each
     token's texts are compared with that one of them that meets most others, as the source of many copies does; (3) all
     that meet and are not in one component yet are compared with each other, but for those that meet too late in their
-    prefixes to share enough of what follows.
+    prefixes to share enough of what follows. A text takes part at a token only if one of the next size there, smaller or
+    larger, can be that similar by size and place; similar texts are never further apart than those.
     """
     bare = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).select(text_digest("text").alias("digest"), "text")
     common = bare.sparkSession.sparkContext.broadcast(common_shingles(bare, words))
@@ -278,7 +279,11 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, text
     near = materialise(candidates(same.unionByName(balls.select("x", "y"))), "near")
 
     spread = printed.select("digest", "n", F.posexplode("tokens").alias("at", "token")).withColumn("rest", F.col("n") - F.col("at")).drop("at")
-    met = materialise(spread.withColumn("texts", F.count("*").over(W.partitionBy("token"))).where("texts > 1"), "met")
+    by_size = W.partitionBy("token").orderBy("n")
+    smaller, larger = F.lag("n").over(by_size), F.lead("n").over(by_size)
+    fits = (smaller >= similarity * F.col("n") - 1e-6) | (larger <= (1 + similarity) / similarity * F.col("rest") - F.col("n") + 1e-6)
+    counted = spread.select("*", F.count("*").over(by_size.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("texts"), fits.alias("fits"))
+    met = materialise(counted.where("fits").drop("fits"), "met")
     weighed = met.join(met.groupBy("digest").agg(F.sum("texts").alias("weight")), "digest")
     hubs = weighed.groupBy("token").agg(F.max(F.struct("weight", "n", "digest")).alias("y"))
     stars = met.join(hubs, "token").where("digest <> y.digest").select(text_of.alias("x"), F.struct("y.n", F.col("y.n").alias("rest"), "y.digest").alias("y"))
