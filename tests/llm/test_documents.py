@@ -207,6 +207,23 @@ def some_words(rng, many):
     return [f"w{x}" for x in rng.integers(0, 5000, many)]
 
 
+def test_cell_counts_keep_similar_sets_of_any_size():
+    rng = np.random.default_rng(5)
+    for n in (1, 5, 1800, 2047, 2048, 2300, 4100, 9000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for cut in (0, n // 9, n // 5):  # 0.8 and more: a part of the set, or with as many others
+            b = np.sort(a[cut:])
+            c = np.unique(np.append(a[: n - cut // 2], rng.integers(0, 1 << 63, cut // 2).astype(np.uint64)))
+            for other in (b, c):
+                shared = len(np.intersect1d(a, other))
+                if shared >= 0.8 * (len(a) + len(other) - shared):
+                    assert simhash.may_be_similar(simhash.cell_counts(a), simhash.cell_counts(other), len(a), len(other), 0.8)
+        strange = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        assert n < 2 or not simhash.may_be_similar(simhash.cell_counts(a), simhash.cell_counts(strange), len(a), len(strange), 0.8)
+    many = np.arange(0, 1 << 18, 1 << 10, dtype=np.uint64)  # 256 shingles of one cell
+    assert simhash.may_be_similar(simhash.cell_counts(many), simhash.cell_counts(many + np.uint64(1)), 256, 256, 0.8)
+
+
 def test_hubs_of_near_copies_against_all_pairs(spark):
     rng, texts = np.random.default_rng(11), []
     for source in (some_words(rng, 240), some_words(rng, 320)):

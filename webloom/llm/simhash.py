@@ -173,19 +173,25 @@ def jaccard(a: str | None, b: str | None, words: int) -> float:
     return shared / (len(one) + len(two) - shared) if len(one) or len(two) else 1.0
 
 
-#: Cells in which a text's shingles are counted, and the count from which a cell only says "many".
-CELLS, MANY = 256, 255
+#: Least number of cells in which a text's shingles are counted, shingles a cell beyond that, and the count from which a cell only says "many".
+CELLS, LOAD, MANY = 256, 8, 255
 
 
 def cell_counts(shingles: np.ndarray) -> bytes:
-    """How many shingles fall into each cell."""
-    return np.minimum(np.bincount((shingles % np.uint64(CELLS)).astype(np.int64), minlength=CELLS), MANY).astype(np.uint8).tobytes()
+    """How many shingles fall into each cell. The number of cells is a power of two that grows with the text, so long texts stay apart."""
+    cells = CELLS << max(0, (len(shingles) // (CELLS * LOAD)).bit_length())
+    return np.minimum(np.bincount((shingles % np.uint64(cells)).astype(np.int64), minlength=cells), MANY).astype(np.uint8).tobytes()
 
 
-def may_be_similar(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether sets of these cell counts (a row each) and sizes can have that Jaccard similarity: they share no more than the cells allow."""
-    shared = np.minimum(a, b).sum(axis=1, dtype=np.int64)
-    return ((a == MANY) & (b == MANY)).any(axis=1) | ((1 + similarity) * shared >= similarity * (n_a + n_b) - 1e-6)
+def may_be_similar(a: bytes, b: bytes, n_a: int, n_b: int, similarity: float) -> bool:
+    """Whether sets of these cell counts and sizes can have that Jaccard similarity: they share no more than the cells allow."""
+    one, two = (np.frombuffer(x, dtype=np.uint8) for x in (a, b))
+    if (one == MANY).any() or (two == MANY).any():
+        return True
+    cells = min(len(one), len(two))
+    # A number's cell among fewer is its cell modulo their number, as both are powers of two.
+    one, two = (x.reshape(-1, cells).sum(axis=0, dtype=np.int64) for x in (one, two))
+    return bool((1 + similarity) * np.minimum(one, two).sum() >= similarity * (n_a + n_b) - 1e-6)
 
 
 def common_shingles(bare: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -236,9 +242,8 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, text
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(f"cells_{x}").to_pylist()), dtype=np.uint8).reshape(-1, CELLS) for x in "ab")
-            n_a, n_b = (batch.column(f"n_{x}").to_numpy().astype(np.int64) for x in "ab")
-            yield batch.select(["a", "b"]).filter(pa.array(may_be_similar(a, b, n_a, n_b, similarity), pa.bool_()))
+            columns = (batch.column(c).to_pylist() for c in ("cells_a", "cells_b", "n_a", "n_b"))
+            yield batch.select(["a", "b"]).filter(pa.array((may_be_similar(*pair, similarity) for pair in zip(*columns)), pa.bool_()))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
