@@ -224,6 +224,16 @@ def test_cell_counts_keep_similar_sets_of_any_size():
     assert simhash.may_be_similar(simhash.cell_counts(many), simhash.cell_counts(many + np.uint64(1)), 256, 256, 0.8)
 
 
+@pytest.mark.parametrize("rows", [0, 1 << 20])
+def test_texts_are_fetched_by_broadcast_and_by_shuffle(spark, monkeypatch, rows):
+    monkeypatch.setattr(simhash, "ASKED_ROWS", rows)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join(words[:-1]), " ".join(words[:30]), " ".join(reversed(words))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert simhash.similar_links(docs).count() == 1
+    assert sorted(r["doc_id"] for r in simhash.keep_one_of_each(docs).collect()) == [0, 2, 3]
+
+
 def test_hubs_of_near_copies_against_all_pairs(spark):
     rng, texts = np.random.default_rng(11), []
     for source in (some_words(rng, 240), some_words(rng, 320)):

@@ -211,6 +211,8 @@ def common_shingles(bare: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
     return tokens[order], counts[order]
 
 
+#: Digests of texts to be verified that are broadcast at most, 16 MB of them; for more, all texts are shuffled to them once.
+ASKED_ROWS = 1 << 20
 #: Texts by this fingerprint distance or less are the first candidates.
 NEAR_BITS = 2
 
@@ -254,7 +256,8 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, text
         """Of pairs (a, b) those that are similar. b is the one with many partners: its text joins last and is not sent once a pair."""
         one, two = (printed.select(F.col("digest").alias(x), F.col("n").alias(f"n_{x}"), F.col("cells").alias(f"cells_{x}")) for x in "ab")
         pairs = materialise(pairs.join(one, "a").join(two, "b").mapInArrow(sift, "a BINARY, b BINARY"), "sifted")
-        asked = pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct()
+        asked = materialise(pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct(), "asked")
+        asked = F.broadcast(asked) if asked.count() <= ASKED_ROWS else asked
         texts = materialise(bare.join(asked, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text")), "texts")
         left = pairs.join(texts.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a")
         both = left.join(texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b")
