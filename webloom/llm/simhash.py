@@ -90,7 +90,8 @@ def ball_links(prints: DataFrame, radius: int, bits: int = BITS) -> DataFrame:
     near = F.array(*[F.lit(m).cast("bigint") for m in ball])
     distinct = prints.select("fp").distinct()
     tasks = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-prints.count() * len(ball) // VARIANTS_A_TASK))
-    spread = distinct.repartition(tasks, "fp").select("fp", F.explode(F.transform(near, lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
+    # By a hash of fp: a repartition by fp itself is taken to be the one of `distinct`, which is coalesced to a few tasks.
+    spread = distinct.repartition(tasks, F.xxhash64("fp")).select("fp", F.explode(F.transform(near, lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
     # The fingerprints of a bucket lie within the ball around its variant: as many as there are masks at most.
     met = spread.groupBy("variant").agg(F.array_sort(F.collect_list("fp")).alias("fps")).where(F.size("fps") > 1)
     if radius % 2:
