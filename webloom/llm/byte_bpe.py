@@ -22,7 +22,6 @@ ordinary text. Empty table: no rows. Other columns are ignored. Decoding null id
 from __future__ import annotations
 
 import base64
-import ctypes
 import functools
 import zlib
 from collections.abc import Iterator
@@ -34,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.subword import Ragged, cut, slices
+from webloom.llm.subword import Ragged, cut, release_memory, slices
 from webloom.session import materialise_buckets
 
 BLOCK, GROUP = 12 << 20, 8
@@ -139,13 +138,6 @@ def _bucketed(words: list[bytes], buckets: int) -> list[dict]:
     return out
 
 
-def _release() -> None:
-    """Hand freed memory back: a worker stays alive between stages, beside the next stage's workers."""
-    pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-        trim(0)
-
-
 def encode_texts(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
     """(key, ids) for every row; with `decoded` also the bytes that the ids decode to, by decode_ids in the same Python worker."""
     bare = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
@@ -162,7 +154,7 @@ def encode_texts(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id",
                 del stream, begins, words
                 yield pa.RecordBatch.from_arrays(cells, names=["grp", "block", "doc_ids", "sizes", "stream", "n_words", "pieces"])
                 del names, pieces, cells
-                _release()
+                release_memory()
                 block += 1
 
     made = bare.mapInArrow(split, f"grp BIGINT, block BIGINT, doc_ids ARRAY<BIGINT>, sizes BINARY, stream BINARY, n_words BIGINT, pieces {PIECES}")
@@ -185,7 +177,7 @@ def encode_texts(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id",
                 made = {"grp": [row["grp"]], "block": [row["block"]], "codes": [row["codes"]], "sizes": [_planes(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))], "ids": [_planes(np.array([i for x in ids for i in x], dtype=np.int64))]}
                 yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.binary() if isinstance(v[0], bytes) else pa.int64()) for k, v in made.items()})
         known.clear()
-        _release()
+        release_memory()
 
     lists = blocks.select("grp", "block", F.explode("pieces").alias("piece")).select("grp", "block", "piece.*")
     dealt = lists.repartition("bucket").sortWithinPartitions("bucket")
@@ -212,7 +204,7 @@ def encode_texts(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id",
                     cells = [raw[4 * a : 4 * b] for a, b in zip(bounds, bounds[1:])]
                     yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"][at : at + 256], pa.int64()), pa.array(cells, pa.binary())], names=["doc_id", "ids"])
                 del row, known, stream, edges, pools, start, length
-                _release()
+                release_memory()
 
     whole = blocks.select("grp", "block", "doc_ids", "sizes", "stream", "n_words").join(back, "grp", "left")
     whole = whole.withColumn("lists", F.filter("found", lambda f: f["block"] == F.col("block")))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from webloom.llm.subword import slices
+from webloom.llm.subword import release_memory, slices
 from webloom.session import materialise
 
 BITS = 64
@@ -65,6 +65,7 @@ def fingerprints(docs: DataFrame, words: int, key: str = "doc_id", text: str = "
         for batch in batches:
             found = np.array([fingerprint(shingle_hashes(t.as_py(), words)) for t in batch.column("text")], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            release_memory()
 
     return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(make, "doc_id BIGINT, fp BIGINT")
 
@@ -242,6 +243,7 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, text
                 tokens = [prefix_tokens(s, similarity, *common.value).view(np.int64) for s in sets]
                 cells = [part.column("digest"), pa.array(map(len, sets), pa.int32()), pa.array(prints), pa.array(tokens, pa.list_(pa.int64())), pa.array(map(cell_counts, sets), pa.binary())]
                 yield pa.RecordBatch.from_arrays(cells, names=["digest", "n", "fp", "tokens", "cells"])
+            release_memory()
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,6 +254,7 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, text
         for batch in batches:
             found = [jaccard(x.as_py(), y.as_py(), words) for x, y in zip(batch.column("text_a"), batch.column("text_b"))]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], names=["a", "b", "similarity"])
+            release_memory()
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) those that are similar. b is the one with many partners: its text joins last and is not sent once a pair."""

@@ -12,6 +12,7 @@ by a batch.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import itertools
 import json
@@ -308,6 +309,13 @@ def word_vocabulary(path: str) -> WordVocabulary:
     return WordVocabulary(path)
 
 
+def release_memory() -> None:
+    """Hand freed memory back: a worker stays alive between stages, beside the next stage's workers."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 16 << 20):
     """Parts of a batch of about `most` bytes of text at most (one row at least), for bounded memory."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
