@@ -37,3 +37,19 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
         ingest.commit_batch(pages, 1, path, ["url"])
     docs = sorted(tuple(r) for r in ingest.read_index(spark, path).docs.select("doc_id", "url").collect())
     assert docs == [(i, f"https://a.org/{i}") for i in range(5)]
+
+
+BLANK_DOCUMENTS = """SELECT i AS doc_id, CASE i % 6 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '  ' WHEN 3 THEN chr(10) || chr(9) ELSE 'some words ' || i END AS text,
+  'en' AS lang, 'src' || i % 2 AS source, 0::BIGINT AS n_chars FROM range(24) t(i)"""
+
+
+def same_on(spark, folder, name, table, made):
+    """The query and its SQL on a table made here."""
+    with duckdb.connect() as db:
+        db.sql(f"copy ({made}) to '{folder}/{table}.parquet'")
+        db.sql(f"create view {table} as select * from '{folder}/{table}.parquet'")
+        assert rows(catalog.queries()[name](spark, str(folder)).toPandas()) == rows(db.sql(catalog.oracle_sql()[name]).df())
+
+
+def test_ingested_pages_without_words_count(spark, tmp_path):
+    same_on(spark, tmp_path, "ingest_stream", "documents", BLANK_DOCUMENTS)

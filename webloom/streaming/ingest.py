@@ -40,13 +40,14 @@ def line_stream(spark: SparkSession, path: str, files_per_batch: int = 16, dicti
 
 def commit_batch(pages: DataFrame, batch_id: int, path: str, order: list[str], replace: bool = False) -> None:
     """One segment from one micro-batch, with ids that follow the earlier batches'. Pages seen before are left out or, with
-    `replace`, are new versions: the page's older one is not read any more.
+    `replace`, are new versions: the page's older one is not read any more. Every page with a host counts, also one without words;
+    `line_stream` leaves out blank lines where it reads them.
 
     Texts are read once, for their words. Everything lands in folders of the batch; a replayed batch looks only at the batches before it and overwrites its
     own folders, so it gives the same ids and no page twice. The manifest entry, written last, makes it visible.
     """
     spark = pages.sparkSession
-    named = pages.where("trim(concat(coalesce(title, ''), coalesce(text, ''))) <> ''").withColumn("hash", fnv1a(F.col("url"))).dropDuplicates(["hash"])
+    named = pages.withColumn("hash", fnv1a(F.col("url"))).dropDuplicates(["hash"])
     offset = again = 0
     if _exists(spark, f"{path}/manifest"):
         earlier = spark.read.parquet(f"{path}/manifest").where(F.col("batch") < batch_id)
