@@ -53,3 +53,7 @@ def same_on(spark, folder, name, table, made):
 
 def test_ingested_pages_without_words_count(spark, tmp_path):
     same_on(spark, tmp_path, "ingest_stream", "documents", BLANK_DOCUMENTS)
+
+
+def test_versions_of_pages_without_words(spark, tmp_path):
+    same_on(spark, tmp_path, "latest_versions", "documents", BLANK_DOCUMENTS)
