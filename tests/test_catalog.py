@@ -57,3 +57,27 @@ def test_ingested_pages_without_words_count(spark, tmp_path):
 
 def test_versions_of_pages_without_words(spark, tmp_path):
     same_on(spark, tmp_path, "latest_versions", "documents", BLANK_DOCUMENTS)
+
+
+def test_clock_ticks_in_pauses_only(spark, tmp_path):
+    same_on(spark, tmp_path, "send_batches", "pages", "SELECT i AS page_id, 'https://a.example.com/' || i AS url, '' AS html FROM range(2600) t(i)")
+
+
+def test_clock_ticks_among_pages(spark):
+    """A sender's ticker, step by step, where ticks fall between any two pages."""
+    from pyspark.sql import functions as F
+
+    from webloom.streaming import ingest
+
+    at = [n * 0.01 + n // 30 * 4 for n in range(600)]
+    expected, ticks, held, batch_no = [], 0, 0, 0
+    for seconds in at:
+        while (ticks + 1) * 3 <= seconds:
+            ticks, held, batch_no = ticks + 1, 0, batch_no + (held > 0)
+        expected.append(batch_no)
+        held += 1
+        if held == 24:  # of 90,000 bytes each: more than two MiB
+            held, batch_no = 0, batch_no + 1
+    pages = spark.createDataFrame(list(enumerate(at)), "nth bigint, at double").select("nth", "at", F.lit("s").alias("sender"), *(F.lit("").alias(c) for c in ("url", "title", "description")), F.repeat(F.lit("x"), F.lit(90_000)).alias("text"))
+    found = ingest.send_batches(pages, "sender", "nth", "at").select("nth", "batch_no").orderBy("nth").collect()
+    assert [r["batch_no"] for r in found] == expected
