@@ -81,3 +81,9 @@ def test_clock_ticks_among_pages(spark):
     pages = spark.createDataFrame(list(enumerate(at)), "nth bigint, at double").select("nth", "at", F.lit("s").alias("sender"), *(F.lit("").alias(c) for c in ("url", "title", "description")), F.repeat(F.lit("x"), F.lit(90_000)).alias("text"))
     found = ingest.send_batches(pages, "sender", "nth", "at").select("nth", "batch_no").orderBy("nth").collect()
     assert [r["batch_no"] for r in found] == expected
+
+
+def test_cut_references(spark, tmp_path):
+    made = """SELECT i AS page_id, 'https://a.example.com/' || i AS url, '<html><head><title>' || t || '</title></head><body><p>' || t || '</p><p>b &amp;amp; &quot;c&quot;' || t || '</p></body></html>' AS html
+      FROM (SELECT unnest(range(9)) AS i, unnest(['a &amp;', 'a &amp;&amp', 'a &am', 'a &a', 'a &quot', 'a &quo', 'a &amp b', 'a &copy', 'a &ampx; &quotx &lt; &#39;']) AS t)"""
+    same_on(spark, tmp_path, "html_fields", "pages", made)

@@ -82,3 +82,9 @@ def test_package_zip(tmp_path):
 
     names = zipfile.ZipFile(package_zip(str(tmp_path))).namelist()
     assert {"webloom/__init__.py", "webloom/session.py", "webloom/functions/text.py"} <= set(names) and all(n.endswith(".py") for n in names)
+
+
+def test_references_without_semicolon():
+    written = "&amp; &amp &am &copy;&copy &ampx; &#39; &#39 &#x41; &notit; &no"
+    assert html.page_fields(written)["text"] == "& & &am ©© &x; ' ' A ¬it; &no"
+    assert html.page_fields(written, decode=html.unescape_terminated)["text"] == "& &amp &am ©&copy &ampx; ' &#39 A &notit; &no"
