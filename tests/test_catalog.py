@@ -87,3 +87,13 @@ def test_cut_references(spark, tmp_path):
     made = """SELECT i AS page_id, 'https://a.example.com/' || i AS url, '<html><head><title>' || t || '</title></head><body><p>' || t || '</p><p>b &amp;amp; &quot;c&quot;' || t || '</p></body></html>' AS html
       FROM (SELECT unnest(range(9)) AS i, unnest(['a &amp;', 'a &amp;&amp', 'a &am', 'a &a', 'a &quot', 'a &quo', 'a &amp b', 'a &copy', 'a &ampx; &quotx &lt; &#39;']) AS t)"""
     same_on(spark, tmp_path, "html_fields", "pages", made)
+
+
+SPACED_DOCUMENTS = r"""SELECT i AS doc_id, t AS text, 'en' AS lang, 'src' || i % 2 AS source, 0::BIGINT AS n_chars FROM (SELECT unnest(range(12)) AS i, unnest([
+  chr(160) || 'Some title' || chr(160), chr(12288) || chr(10) || 'Some title' || chr(8195) || chr(10), '# ' || chr(160) || '# x' || chr(9), chr(160), chr(9) || chr(160) || chr(13) || chr(10) || 'Line', 'title ' || chr(13),
+  repeat(' ' || chr(10), 1990) || repeat('ééé ', 50), repeat(chr(12288) || chr(10), 1500) || 'After 6000 bytes', repeat(chr(160), 7000) || repeat('wort ', 60), repeat('wort' || repeat(chr(160), 250), 40), repeat('é', 4000) || chr(10) || 'x', repeat('東' || repeat(chr(12288), 200), 59)]) AS t)"""
+
+
+@pytest.mark.parametrize("name", ["text_page_fields", "doc_lengths", "latest_versions"])
+def test_pages_with_spaces_of_any_kind(spark, tmp_path, name):
+    same_on(spark, tmp_path, name, "documents", SPACED_DOCUMENTS)
