@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from webloom.functions.codec import fnv1a
-from webloom.operators.index import LEVELS, Index, build_index, dense_ids
+from webloom.operators.index import LEVELS, Index, dense_ids, index_of, tokenised
 from webloom.sources.lists import WEEK
 from webloom.sources.responses import stored_pages
 
@@ -43,8 +43,8 @@ def commit_batch(pages: DataFrame, batch_id: int, path: str, order: list[str], r
     `replace`, are new versions: the page's older one is not read any more. Every page with a host counts, also one without words;
     `line_stream` leaves out blank lines where it reads them.
 
-    Texts are read once, for their words. Everything lands in folders of the batch; a replayed batch looks only at the batches before it and overwrites its
-    own folders, so it gives the same ids and no page twice. The manifest entry, written last, makes it visible.
+    Texts are read once, for their words, which are staged for docs and postings. Everything lands in folders of the batch; a replayed batch
+    looks only at the batches before it and overwrites its own folders, so it gives the same ids and no page twice. The manifest entry, written last, makes it visible.
     """
     spark = pages.sparkSession
     named = pages.withColumn("hash", fnv1a(F.col("url"))).dropDuplicates(["hash"])
@@ -61,7 +61,8 @@ def commit_batch(pages: DataFrame, batch_id: int, path: str, order: list[str], r
     staged = f"{path}/pages/batch={batch_id}"
     dense_ids(named, order, offset).write.mode("overwrite").parquet(staged)
     kept = spark.read.parquet(staged)
-    index = build_index(kept)
+    tokenised(kept).write.mode("overwrite").parquet(f"{path}/words/batch={batch_id}")
+    index = index_of(spark.read.parquet(f"{path}/words/batch={batch_id}"))
     index.docs.write.mode("overwrite").parquet(f"{path}/docs/batch={batch_id}")
     index.postings.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings/batch={batch_id}")
     counted = spark.read.parquet(f"{path}/postings/batch={batch_id}").groupBy("term").agg(F.count("*").alias("df"))
